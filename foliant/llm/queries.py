@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from foliant.llm import chat_format, exact_dedup
+from foliant.llm import chat_format, exact_dedup, packing, token_files
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_chat_format": chat_format.op7_chat_format,
 }
