@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from foliant.llm import chat_format, exact_dedup, packing, token_files
+from foliant.llm import chat_format, exact_dedup, packing, quality, token_files
 
 QUERIES = {
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_chat_format": chat_format.op7_chat_format,
+    "op8_quality_rules": quality.op8_quality_rules,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
