@@ -74,7 +74,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> list[int]:
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Sequence[int]) -> DataFrame:
-    """Inner join with right, which has one row per key (null keys match). Rows of hot keys are joined by broadcast.
+    """Inner join with right, which has one row per key; no key is null. Rows of hot keys are joined by broadcast.
 
     The broadcast side has a row per hot key at most, so at most 1 / HOT_SHARE rows (and those that share a hash).
     """
@@ -82,7 +82,7 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: Sequenc
 
     def joined(a: DataFrame, b: DataFrame) -> DataFrame:
         b = b.select(*(F.col(k).alias(f"__{k}") for k in keys), *kept)
-        return a.join(b, reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[f"__{k}"]) for k in keys))).drop(*(f"__{k}" for k in keys))
+        return a.join(b, reduce(lambda x, y: x & y, (a[k] == b[f"__{k}"] for k in keys))).drop(*(f"__{k}" for k in keys))
 
     if not hot:
         return joined(left, right)

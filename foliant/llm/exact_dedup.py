@@ -53,7 +53,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         width *= 2
         half = F.shiftright("pos", 1)
         pairs = level.where(F.col("n") > before).groupBy("rid", "n", half.alias("pos")).agg(
-            F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("b")
+            F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b")
         )
         pairs = scratch.table(pairs, f"pairs{k}")
         level = scratch.table(named(pairs, ["a", "b"], hot_keys(pairs, ["a", "b"])).select("rid", "n", "pos", "name"), f"level{k}")
