@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from foliant.llm import chat_format, exact_dedup, packing, quality, token_files
+from foliant.llm import chat_format, exact_dedup, lm_score, packing, quality, token_files
 
 QUERIES = {
+    "op1_lm_score": lm_score.op1_lm_score,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op5_token_files": token_files.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
