@@ -41,11 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared folder, so that later jobs read them again instead of computing them again.
 
-    A lost executor loses none of them. They are deleted when the driver's process ends, since the lazy results read them.
+    A lost executor loses none of them. They are deleted when the driver's process ends, since the lazy results read
+    them; who knows that a result has been written can delete them before, see made_since().
     """
 
+    made: list[Scratch] = []  # noqa: RUF012
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        Scratch.made.append(self)
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.path)
 
@@ -56,8 +60,32 @@ class Scratch:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 
-    def drop(self, name: str) -> None:
-        _delete(self.spark, f"{self.path}/{name}")
+    def drop(self, name: str = "") -> None:
+        """One of the tables, or all."""
+        _delete(self.spark, f"{self.path}/{name}".rstrip("/"))
+        if not name and self in Scratch.made:
+            Scratch.made.remove(self)
+
+    @classmethod
+    def made_since(cls, n: int) -> list[Scratch]:
+        return cls.made[n:]
+
+
+def numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """(rid, row): rows of docs with a number that stays, each in a struct, so that no column's name clashes."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return scratch.table(docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row")), "numbered")
+
+
+#: Numbers of rows that are sent to all tasks, at most (8 MB).
+MOST_NUMBERS = 1_000_000
+
+
+def without(rows: DataFrame, dropped: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns of the rows (rid, row) whose numbers aren't in dropped (rid), which is broadcast if it is small."""
+    small = dropped.limit(MOST_NUMBERS + 1).count() <= MOST_NUMBERS
+    kept = rows.join(F.broadcast(dropped) if small else dropped, "rid", "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in columns))
 
 
 def text_or_empty(col: str | Column) -> Column:

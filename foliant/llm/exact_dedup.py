@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, hot_keys, join_on, text_or_empty
+from foliant.llm.common import Scratch, hot_keys, join_on, numbered, text_or_empty, without
 
 #: Code points of a block.
 BLOCK = 4096
@@ -32,13 +32,23 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with the smallest id (a null id comes last), then any one of rows that agree in both. A null text is an empty one,
     and all empty texts are equal. Other columns of docs are not looked at, whatever their names.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
-    text = text_or_empty(text_col)
-    norm = F.translate(text, BLANKS, "")
-    base = docs.select(F.col(id_col).alias("doc_id"), F.length(text).cast("long").alias("n_chars"), norm.alias("norm"))
+    own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return classes(Scratch(docs.sparkSession, "exact-dedup"), own, block).drop("rid")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """The rows of docs that stay, with all their columns; see text_classes()."""
+    scratch = Scratch(docs.sparkSession, "exact-dedup")
+    rows = numbered(scratch, docs)
+    own = rows.select("rid", F.col("row").getField(id_col).alias("doc_id"), text_or_empty(F.col("row").getField(text_col)).alias("text"))
+    return without(rows, scratch.table(classes(scratch, own, block).where(~F.col("kept")).select("rid"), "dropped"), docs.columns)
+
+
+def classes(scratch: Scratch, own: DataFrame, block: int) -> DataFrame:
+    """text_classes() of (rid, doc_id, text), with rid."""
+    base = own.select("rid", "doc_id", F.length("text").cast("long").alias("n_chars"), F.translate("text", BLANKS, "").alias("norm"))
     base = base.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"),
+        "rid", "doc_id", "n_chars", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"),
         F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block), F.lit(0))).alias("blocks"),
     )
     base = base.select("rid", "doc_id", "n_chars", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
@@ -67,7 +77,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     groups = rows.groupBy("n", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select("n", "name", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.rid").alias("keep_rid"))
     out = join_on(rows, groups, ["n", "name"], hot_keys(rows, ["n", "name"]))
-    return out.select("doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars")
+    return out.select("rid", "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"), "n_chars")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, hot_keys, join_on, text_or_empty
+from foliant.llm.common import Scratch, hot_keys, join_on, numbered, text_or_empty, without
 
 WORDS, SIMILAR = 5, 0.8
 #: Registers of a signature; rows of a band. A pair at SIMILAR shares no band with probability (1 - 0.8^4)^32 = 5e-8.
@@ -291,10 +291,21 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     not held against each other. A text of fewer than WORDS words is one shingle. A null or empty text is near to none:
     each such row is a class of its own. Other columns of docs are not looked at.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near-dup")
+    scratch = Scratch(docs.sparkSession, "near-dup")
     own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    texts = scratch.table(own, "texts")  # row numbers are fixed from here on
+    return classes(scratch, scratch.table(own, "texts"), least).drop("rid")  # row numbers are fixed from here on
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
+    """The row of each class that stays, with all its columns; see near_classes()."""
+    scratch = Scratch(docs.sparkSession, "near-dup")
+    rows = numbered(scratch, docs)
+    texts = rows.select("rid", F.col("row").getField(id_col).cast("long").alias("doc_id"), text_or_empty(F.col("row").getField(text_col)).alias("text"))
+    return without(rows, scratch.table(classes(scratch, texts, least).where(~F.col("kept")).select("rid"), "dropped"), docs.columns)
+
+
+def classes(scratch: Scratch, texts: DataFrame, least: float) -> DataFrame:
+    """near_classes() of (rid, doc_id, text), with rid."""
     signed = scratch.table(texts.mapInArrow(_signed, "rid long, doc_id long, n_shingles long, bag_key binary, signature binary"), "signed")
     full = signed.where(F.col("n_shingles") > 0)
     same = full.groupBy("bag_key").agg(F.min("rid").alias("text_rid"))
@@ -320,10 +331,10 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = signed.select("rid", "doc_id", "n_shingles").join(copies, "rid", "left")
     rows = rows.join(label.select(F.col("rid").alias("text_rid"), "class"), "text_rid", "left")
     rows = scratch.table(rows.select("rid", "doc_id", "n_shingles", F.coalesce("class", "text_rid", "rid").alias("class")), "rows")
-    classes = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("class_size"))
-    classes = classes.select("class", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("keep"))
-    out = join_on(rows, classes, ["class"], hot_keys(rows, ["class"]))
-    return out.select("doc_id", "class_id", "class_size", (F.col("rid") == F.col("keep")).alias("kept"), "n_shingles")
+    groups = rows.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid")).alias("first"), F.count(F.lit(1)).alias("class_size"))
+    groups = groups.select("class", "class_size", F.col("first.doc_id").alias("class_id"), F.col("first.rid").alias("keep"))
+    out = join_on(rows, groups, ["class"], hot_keys(rows, ["class"]))
+    return out.select("rid", "doc_id", "class_id", "class_size", (F.col("rid") == F.col("keep")).alias("kept"), "n_shingles")
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,7 +185,7 @@ def _texts(batch: pa.RecordBatch, column: int, table: WordTable) -> Iterator[tup
             yield i, text, words, np.fromiter(map(table.number.__getitem__, words), np.int64, len(words))
 
     for i in range(batch.num_rows):
-        text = batch.column(column)[i].as_py()
+        text = batch.column(column)[i].as_py() or ""
         held.append((i, text, text.encode("utf-8", "surrogatepass").split()))
         n += len(text)
         if n >= CHUNK:
@@ -221,7 +221,7 @@ def _count_grams(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 _models: dict[int, WordTable] = {}
 
 
-def _score(model, lang: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _score(model, with_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if id(model) not in _models:
             _models.clear()
@@ -233,7 +233,8 @@ def _score(model, lang: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 rows.append((*base_rules(text, words, numbers), float(table.scores[numbers].sum())))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             kinds = [pa.int64()] * 5 + [pa.float64()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [*batch.schema.names[:-1], *SCORED])
+            kept = batch.num_columns if with_text else batch.num_columns - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [*batch.schema.names[:kept], *SCORED])
 
     return run
 
@@ -266,9 +267,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     held = spark.sparkContext.broadcast(model)
     lang = F.coalesce(F.col(lang_col), F.lit("")) if lang_col else F.lit("")
     keep = keep or []
-    own = docs.select(F.col(id_col).alias("__id"), lang.alias("__lang"), *(F.col(c).alias(f"__keep_{c}") for c in keep), text_or_empty(text_col).alias("__text"))
-    kinds = ", ".join([*(f"`{n}` {t}" for n, t in own.dtypes[:-1]), *(f"{c} {'double' if c == 'log_prob' else 'bigint'}" for c in SCORED)])
-    scored = own.mapInArrow(_score(held, bool(lang_col)), kinds)
+    kept_as = {c: "__text" if c == text_col else f"__keep_{i}" for i, c in enumerate(keep)}
+    own = docs.select(F.col(id_col).alias("__id"), lang.alias("__lang"), *(F.col(f"`{c}`").alias(n) for c, n in kept_as.items() if c != text_col), F.col(text_col).alias("__text"))
+    kinds = ", ".join([*(f"`{n}` {t}" for n, t in own.dtypes[: None if text_col in keep else -1]), *(f"{c} {'double' if c == 'log_prob' else 'bigint'}" for c in SCORED)])
+    scored = own.mapInArrow(_score(held, text_col in keep), kinds)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("cross_entropy", F.when(F.col("n_words") > 0, -F.col("log_prob") / (F.col("word_chars") + F.col("n_words")))).drop("log_prob")
     scored = Scratch(spark, "quality").table(scored, "scored")
@@ -282,7 +284,15 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     out = scored.join(bands, F.col("__lang") == F.col("__band"), "left").withColumn("lower", q[1] - wide).withColumn("upper", q[1] + wide)
     inside = F.coalesce(F.col("cross_entropy").between(F.col("lower"), F.col("upper")), F.lit(True))
     out = out.withColumn("kept", ~F.col("base_failed") & inside)
-    return out.select(F.col("__id").alias(id_col), *(F.col(f"__keep_{c}").alias(c) for c in keep if c != id_col), *SCORED[:-1], "base_failed", "cross_entropy", "lower", "upper", "kept")
+    return out.select(F.col("__id").alias(id_col), *(F.col(n).alias(c) for c, n in kept_as.items() if c != id_col), *SCORED[:-1], "base_failed", "cross_entropy", "lower", "upper", "kept")
+
+
+def passed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns."""
+    hidden = docs.select(*(F.col(f"`{c}`").alias(f"__own_{i}") for i, c in enumerate(docs.columns)))
+    name = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}
+    out = judge(hidden, name[id_col], name[text_col], name[lang_col] if lang_col else None, list(hidden.columns)).where("kept")
+    return out.select(*(F.col(n).alias(c) for c, n in name.items()))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
