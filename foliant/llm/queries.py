@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import chat_format, exact_dedup, html_text, lm_score, near_dup, packing, quality, token_files
+from foliant.llm import chat_format, exact_dedup, html_text, lm_score, near_dup, packing, pieces, quality, shards, token_files
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -13,6 +13,8 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_sharding": shards.op9_sharding,
+    "op10_pieces": pieces.op10_pieces,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.OP6_SQL,
