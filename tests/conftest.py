@@ -3,9 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.abspath(__file__)), os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]
 
-SF = "/root/testdata/sf0.001"
+from helpers import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -29,15 +29,3 @@ def duck():
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
-
-
-def rows_of(df):
-    """Rows as sorted strings, columns by name."""
-    cols = sorted(df.columns)
-    return sorted(str(tuple(r[c] for c in cols)) for r in df.select(*cols).collect())
-
-
-def duck_rows(duck, sql):
-    rel = duck.sql(sql)
-    at = [rel.columns.index(c) for c in sorted(rel.columns)]
-    return sorted(str(tuple(r[i] for i in at)) for r in rel.fetchall())

@@ -1,7 +1,7 @@
 """Each query against its SQL in a second engine, on whole tables."""
 
 import pytest
-from conftest import SF, duck_rows, rows_of
+from helpers import SF, duck_rows, rows_of
 
 from foliant.plans.catalogue import ORACLE_SQL, QUERIES
 
