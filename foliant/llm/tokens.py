@@ -14,7 +14,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Words remembered by a worker, at most (about 150 bytes each).
-REMEMBERED = 500_000
+REMEMBERED = 1_000_000
+#: After letters, each of these is a piece of its own in both vocabularies.
+CLOSING = ".,;:!?"
 #: Characters of the texts that are handled together.
 CHUNK = 1_000_000
 
@@ -39,6 +41,9 @@ class WordIds:
             (self.newline,) = self.whole("\n")
         else:
             (self.mark,) = self.whole("\x01")
+            vocab = self.library.get_vocab()
+            self.closes = np.zeros(max(vocab.values()) + 1, bool)
+            self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.doubled = re.compile(r"\s\s")
 
     def whole(self, text: str) -> np.ndarray:
@@ -46,10 +51,11 @@ class WordIds:
 
     def _words(self, text: str) -> list | None:
         """Keys of the words: spaced: "\\n\\n" begins the text's first word, "\\n" a later line's first word."""
+        if not self.spaced:
+            data = text.encode("utf-8", "surrogatepass").lower()  # the library lowers them too
+            return None if b"<|" in data and any(s.encode() in data for s in self.special) else data.split()
         if any(s in text for s in self.special):
             return None
-        if not self.spaced:
-            return text.encode("utf-8", "surrogatepass").split()
         if self.doubled.search(text):
             return None
         out: list[str] = []
@@ -59,44 +65,72 @@ class WordIds:
             out += words
         return out
 
-    def _learn_together(self, keys: list, text: str, ends: np.ndarray, ids: np.ndarray) -> None:
+    def _learn_together(self, keys: list, ends: np.ndarray, ids: np.ndarray) -> None:
         parts = np.split(ids, ends)
-        assert len(parts) == len(keys), (len(parts), len(keys), text[:200])
         self.known.update(zip(keys, (p.tobytes() for p in parts), strict=True))
 
     def learn(self, keys: Iterable) -> None:
-        """Ask the library for the words that aren't known yet."""
+        """Ask the library for the words that aren't known yet. Letters and one closing mark are put together from both."""
         new = [k for k in keys if k not in self.known]
-        if not self.spaced:
-            plain = []
-            for k in new:
-                (plain if b"\x01" not in k and b"<|" not in k else self.known.setdefault(k, self.whole(k.decode("utf-8", "surrogatepass")).tobytes()) and []).append(k)
-            if plain:
-                ids = self.whole(" \x01 ".join(k.decode("utf-8", "surrogatepass") for k in plain))
-                marks = np.flatnonzero(ids == self.mark)
-                keep = np.ones(len(ids), bool)
-                keep[marks] = False
-                self._learn_together(plain, "", marks - np.arange(len(marks)), ids[keep])
-            return
+        both, alone = [], set()
+        for k in new:
+            word = k.lstrip("\n") if self.spaced else k.decode("utf-8", "surrogatepass")
+            if len(word) > 1 and word[-1] in CLOSING and word[:-1].isalpha() and word[:-1].lower().isalpha():
+                both.append(k)
+                if k[:-1] not in self.known:
+                    alone.add(k[:-1])
+            else:
+                alone.add(k)
+        (self._learn_spaced if self.spaced else self._learn_loose)(list(alone))
+        for k in both:
+            mark = k[-1:]
+            name = ("\n\n" if self.spaced else b"\0mark ") + mark
+            if name not in self.known:
+                self.known[name] = self.whole(mark if self.spaced else mark.decode()).tobytes()
+            self.known[k] = self.known[k[:-1]] + self.known[name]
+
+    def _learn_loose(self, new: list[bytes]) -> None:
+        letters, plain = [], []
+        for k in new:
+            word = k.decode("utf-8", "surrogatepass")
+            if word.isalpha():
+                letters.append((k, word))
+            elif b"\x01" in k or b"<|" in k:
+                self.known[k] = self.whole(word).tobytes()
+            else:
+                plain.append((k, word))
+        if letters:
+            ids = self.whole(" ".join(w for _, w in letters))
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(letters):
+                self._learn_together([k for k, _ in letters], ends[:-1], ids)
+            else:  # letters that become something else when normalised
+                plain += letters
+        if plain:
+            ids = self.whole(" \x01 ".join(w for _, w in plain))
+            marks = np.flatnonzero(ids == self.mark)
+            keep = np.ones(len(ids), bool)
+            keep[marks] = False
+            self._learn_together([k for k, _ in plain], marks - np.arange(len(marks)), ids[keep])
+
+    def _learn_spaced(self, new: list[str]) -> None:
         firsts, rests = [], []
         for k in new:
             word = k.lstrip("\n")
             if not word or word[0].isspace() or word[-1].isspace():
-                text = k[1:] if k.startswith("\n\n") else k if k.startswith("\n") else " " + k
-                if k.startswith("\n\n"):
-                    text = word
+                text = word if k.startswith("\n\n") else k if k.startswith("\n") else " " + k
                 self.known[k] = self.whole(text).tobytes() if text else b""
             else:
                 (firsts if k[0] == "\n" else rests).append(k)
         if rests:
             ids = self.whole("".join(f" {w}" for w in rests))
-            self._learn_together(rests, "", np.flatnonzero(self.begins[ids])[1:], ids)
+            self._learn_together(rests, np.flatnonzero(self.begins[ids])[1:], ids)
         if firsts:
             ids = self.whole("\n".join(k.lstrip("\n") for k in firsts))
             at = np.flatnonzero(ids == self.newline)
             keep = np.ones(len(ids), bool)
             keep[at] = False
-            self._learn_together(firsts, "", at - np.arange(len(at)), ids[keep])
+            self._learn_together(firsts, at - np.arange(len(at)), ids[keep])
             newline = np.array([self.newline], "<u4").tobytes()
             for k in firsts:
                 if not k.startswith("\n\n"):
