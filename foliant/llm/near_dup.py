@@ -7,10 +7,11 @@ rate is the level's width, and a shingle takes part with the levels below its we
 in, with the points below its weight. Each point falls on one of SIZE registers, which keeps its earliest point. Two
 documents agree in a register with a probability equal to their similarity.
 
-Links between different texts are found without emitting the pairs of a group. Each member of a band's bucket is held
-against the first of the buckets' members that its signature agrees with best; what these links join is a class. Then
-members of a bucket that are still in different classes are held against each other, in blocks, first by their
-signatures, then by their shingles.
+Links between different texts are found without emitting the pairs of a group. Each bucket of a band has a head, the
+member that meets most others in all its buckets (the text that the others are copies of, if it is there). Each text is
+held against the head that its signature agrees with best; what these links join is a class. Then members of a bucket
+that are still in different classes are held against each other in blocks, first by their signatures, then by their
+shingles, within the task: it emits a link only if it joins two classes, so never more links than it has members.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SIZE, ROWS = 128, 4
 #: Pairs whose signatures agree in a smaller share than this aren't held against each other: at SIMILAR the chance is 2e-5.
 AGREE = 0.65
 #: Members of a bucket's block.
-BLOCK = 500
+BLOCK = 1000
 #: Points drawn at once for a document, at least; names of documents that are sent to all tasks, at most.
 DRAWN, MOST_NAMES = 700, 1_000_000
 
@@ -187,20 +188,11 @@ def _similar(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _across(agree: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows sorted by (bucket, low, high), each group two blocks of a bucket or one, to pairs of different classes that agree enough."""
+GROUPED = "bucket long, low long, high long, rid long, class long, is_low boolean, same boolean, signature binary"
 
-    def pairs(rows: pa.Table) -> Iterator[tuple[int, int]]:
-        signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u4").reshape(-1, SIZE)
-        rid, own = rows.column("rid").to_numpy(), rows.column("class").to_numpy()
-        first = rows.column("is_low").to_numpy(zero_copy_only=False)
-        one = bool(rows.column("same")[0].as_py())
-        for i in range(len(rid)):
-            there = np.flatnonzero(own > own[i]) if one else np.flatnonzero((own != own[i]) & ~first) if first[i] else ()
-            if len(there):
-                share = (signature[there] == signature[i]).mean(1)
-                for j in there[share >= agree]:
-                    yield int(min(rid[i], rid[j])), int(max(rid[i], rid[j]))
+
+def _by_group(work: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs work on each group of rows that are sorted by (bucket, low, high)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -210,27 +202,102 @@ def _across(agree: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
             keys = np.stack([held.column(c).to_numpy() for c in ("bucket", "low", "high")])
-            edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            out = [p for a, b in zip([0, *edges[:-1]], edges, strict=False) for p in pairs(held.slice(a, b - a))] if len(edges) else []
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
-            held = held.slice(int(edges[-1]) if len(edges) else 0).combine_chunks()
+            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist()]
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield work(held.slice(a, b - a))
+            held = held.slice(edges[-1]).combine_chunks()
         if held is not None:
-            out = list(pairs(held))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            yield work(held)
 
     return run
 
 
+class Group:
+    """Two blocks of a bucket, or one."""
+
+    def __init__(self, rows: pa.Table):
+        self.signature = np.frombuffer(b"".join(rows.column("signature").to_pylist()), "<u4").reshape(-1, SIZE)
+        self.rid, self.own = rows.column("rid").to_numpy(), rows.column("class").to_numpy()
+        self.low, self.same = rows.column("is_low").to_numpy(zero_copy_only=False), bool(rows.column("same")[0].as_py())
+
+    def candidates(self, i: int, agree: float) -> np.ndarray:
+        """Members of another class, each pair once, whose signature agrees enough."""
+        if self.same:
+            there = np.flatnonzero(self.own[i + 1 :] != self.own[i]) + i + 1
+        else:
+            there = np.flatnonzero((self.own != self.own[i]) & ~self.low) if self.low[i] else np.zeros(0, np.int64)
+        return there[(self.signature[there] == self.signature[i]).mean(1) >= agree] if len(there) else there
+
+
+def _involved(agree: float) -> Callable[[pa.Table], pa.RecordBatch]:
+    """The rows of a group that have a candidate."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        group = Group(rows)
+        keep = np.zeros(rows.num_rows, bool)
+        for i in range(rows.num_rows):
+            found = group.candidates(i, agree)
+            if len(found):
+                keep[i] = keep[found] = True
+        kept = rows.filter(pa.array(keep)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in kept.columns], kept.column_names)
+
+    return work
+
+
+def _joined(agree: float, least: float) -> Callable[[pa.Table], pa.RecordBatch]:
+    """Links between members of a group whose multisets overlap enough, as long as they join two classes."""
+
+    def work(rows: pa.Table) -> pa.RecordBatch:
+        group = Group(rows)
+        bags = [unpacked(b.as_py()) for b in rows.column("bag")]
+        sizes = np.array([len(b[0]) for b in bags])
+        totals = np.array([int(b[1].sum()) for b in bags])
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        elements, counts = np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags])
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        a, b = [], []
+        for i in range(len(bags)):
+            found = group.candidates(i, agree)
+            mine = root(int(group.own[i]))
+            found = np.array([j for j in found.tolist() if root(int(group.own[j])) != mine], np.int64)
+            if not len(found):
+                continue
+            at = np.concatenate([np.arange(starts[j], starts[j + 1]) for j in found])
+            place = np.minimum(np.searchsorted(bags[i][0], elements[at]), sizes[i] - 1)
+            shared = np.where(bags[i][0][place] == elements[at], np.minimum(bags[i][1][place], counts[at]), 0)
+            both = np.add.reduceat(shared, np.concatenate([[0], np.cumsum(sizes[found])[:-1]]))
+            for j in found[both >= least * (totals[i] + totals[found] - both)].tolist():
+                x, y = root(int(group.own[i])), root(int(group.own[j]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    a.append(int(group.rid[i]))
+                    b.append(int(group.rid[j]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return work
+
+
+def bags_of(scratch: Scratch, named: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """(rid, bag) of the documents in named (rid). Only those are read for their shingles."""
+    named = scratch.table(named.distinct(), f"{name}-named")
+    small = named.count() <= MOST_NAMES
+    found = texts.select("rid", "text").join(F.broadcast(named) if small else named, "rid").mapInArrow(_bags, "rid long, bag binary")
+    return scratch.table(found, f"{name}-bags")
+
+
 def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, least: float, name: str) -> DataFrame:
-    """Of the pairs (a, b), those whose multisets overlap enough. Only the documents in them are read for their shingles."""
+    """Of the pairs (a, b), those whose multisets overlap enough."""
     pairs = scratch.table(pairs, f"{name}-pairs")
-    named = scratch.table(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), f"{name}-named")
-    small = named.count() <= MOST_NAMES
-    bags = texts.select("rid", "text").join(F.broadcast(named) if small else named, "rid").mapInArrow(_bags, "rid long, bag binary")
-    bags = scratch.table(bags, f"{name}-bags")
-    hot = hot_keys(pairs, ["b"])
+    bags = bags_of(scratch, pairs.select(F.col("a").alias("rid")).union(pairs.select("b")), texts, name)
     with_a = pairs.join(bags.select(F.col("rid").alias("a"), F.col("bag").alias("bag_a")), "a")
-    both = join_on(with_a, bags.select(F.col("rid").alias("b"), F.col("bag").alias("bag_b")), ["b"], hot)
+    both = join_on(with_a, bags.select(F.col("rid").alias("b"), F.col("bag").alias("bag_b")), ["b"], hot_keys(pairs, ["b"]))
     links = scratch.table(both.select("a", "b", "bag_a", "bag_b").mapInArrow(_similar(least), "a long, b long"), f"{name}-links")
     scratch.drop(f"{name}-bags")
     return links
@@ -254,7 +321,7 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
 
 
 def still_apart(members: DataFrame, signed: DataFrame, agree: float) -> DataFrame:
-    """Pairs (a, b) of members (bucket, rid, class) of a bucket that are in different classes and agree.
+    """Rows (GROUPED) of members (bucket, rid, class) that agree with one of another class in their bucket, by pairs of blocks.
 
     A class with BLOCK members in a bucket or more has blocks of its own, which aren't held against each other.
     """
@@ -279,8 +346,19 @@ def still_apart(members: DataFrame, signed: DataFrame, agree: float) -> DataFram
     number = lambda x: F.xxhash64(x["kind"], x["k"])
     own, other = number(F.col("own")), number(F.col("other"))
     rows = rows.select("bucket", F.least(own, other).alias("low"), F.greatest(own, other).alias("high"), "rid", "class", (own <= other).alias("is_low"), (own == other).alias("same"), "signature")
-    rows = rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
-    return rows.mapInArrow(_across(agree), "a long, b long").distinct()
+    return grouped(rows).mapInArrow(_by_group(_involved(agree)), GROUPED)
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "rid")
+
+
+def joining(scratch: Scratch, apart: DataFrame, texts: DataFrame, agree: float, least: float) -> DataFrame:
+    """Links (a, b) between the rows that still_apart() gives."""
+    apart = scratch.table(apart, "apart")
+    bags = bags_of(scratch, apart.select("rid"), texts, "apart")
+    links = grouped(apart.join(bags, "rid").select(*apart.columns, "bag")).mapInArrow(_by_group(_joined(agree, least)), "a long, b long")
+    return scratch.table(links.distinct(), "joining")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
@@ -314,8 +392,12 @@ def classes(scratch: Scratch, texts: DataFrame, least: float) -> DataFrame:
     one = scratch.table(one, "one")  # a row for each distinct text
     bands = scratch.table(one.mapInArrow(_bands, "bucket long, rid long"), "bands")
     hot = hot_keys(bands, ["bucket"])
-    heads = bands.groupBy("bucket").agg(F.min("rid").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket", "head")
-    met = join_on(bands, heads, ["bucket"], hot).where(F.col("rid") != F.col("head")).select(F.col("rid").alias("a"), F.col("head").alias("b")).distinct()
+    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    shared = scratch.table(join_on(bands, shared, ["bucket"], hot), "shared")
+    met_by = shared.groupBy("rid").agg(F.sum("n").alias("others"))
+    heads = shared.join(met_by, "rid").groupBy("bucket").agg(F.max(F.struct("others", (-F.col("rid")).alias("name"))).alias("head"))
+    met = join_on(shared.select("bucket", "rid"), heads.select("bucket", (-F.col("head.name")).alias("head")), ["bucket"], hot)
+    met = met.where(F.col("rid") != F.col("head")).select(F.col("rid").alias("a"), F.col("head").alias("b")).distinct()
     met = scratch.table(met, "met")
     signature = lambda k: one.select(F.col("rid").alias(k), F.col("signature").alias(f"signature_{k}"))
     compared = join_on(met.join(signature("a"), "a"), signature("b"), ["b"], hot_keys(met, ["b"])).select("a", "b", "signature_a", "signature_b")
@@ -323,10 +405,8 @@ def classes(scratch: Scratch, texts: DataFrame, least: float) -> DataFrame:
     best = compared.groupBy("a").agg(F.max(F.struct("agree", -F.col("b"))).alias("best")).select("a", (-F.col("best.col2")).alias("b"))
     links = verified(scratch, best, texts, least, "first")
     label = components(scratch, links, "first")
-    members = bands.join(label, "rid", "left").select("bucket", "rid", F.coalesce("class", "rid").alias("class"))
-    shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("bucket")
-    members = scratch.table(join_on(members, shared, ["bucket"], hot), "members")
-    more = verified(scratch, still_apart(members, one, AGREE), texts, least, "second")
+    members = scratch.table(shared.join(label, "rid", "left").select("bucket", "rid", F.coalesce("class", "rid").alias("class")), "members")
+    more = joining(scratch, still_apart(members, one, AGREE), texts, AGREE, least)
     label = components(scratch, links.union(more), "second")
     rows = signed.select("rid", "doc_id", "n_shingles").join(copies, "rid", "left")
     rows = rows.join(label.select(F.col("rid").alias("text_rid"), "class"), "text_rid", "left")

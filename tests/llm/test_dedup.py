@@ -91,9 +91,28 @@ def test_links_across_classes_of_a_bucket(spark, monkeypatch):
         rows.append((7, k, 100 if k < 8 else 200 if k < 16 else k, bytearray(s.tobytes())))
     members = spark.createDataFrame([r[:3] for r in rows], "bucket long, rid long, class long")
     signed = spark.createDataFrame([(r[1], r[3]) for r in rows], "rid long, signature binary")
-    got = {(r.a, r.b) for r in near_dup.still_apart(members, signed, 0.9).collect()}
     share = lambda a, b: (np.frombuffer(bytes(rows[a][3]), "<u4") == np.frombuffer(bytes(rows[b][3]), "<u4")).mean()
-    assert got == {(a, b) for a in range(23) for b in range(a + 1, 23) if rows[a][2] != rows[b][2] and share(a, b) >= 0.9}
+    want = {(a, b) for a in range(23) for b in range(a + 1, 23) if rows[a][2] != rows[b][2] and share(a, b) >= 0.9}
+    got = near_dup.still_apart(members, signed, 0.9).collect()
+    assert {r.rid for r in got} == {k for p in want for k in p}
+    groups = {}
+    for r in got:
+        groups.setdefault((r.bucket, r.low, r.high), set()).add(r.rid)
+    assert all(any({a, b} <= g for g in groups.values()) for a, b in want)
+
+
+def test_a_group_whose_members_are_near_to_one_of_them_only(spark):
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(10**6)}" for _ in range(150)]
+    docs = []
+    for k in range(60):
+        own = list(base)
+        for i in rnd.sample(range(150), 2 + k % 4):
+            own[i] = f"new{k}x{i}"
+        docs.append((k, " ".join(own)))
+    docs.append((1000, " ".join(base)))
+    got = {r.doc_id: r.class_id for r in near_dup.near_classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute_classes(docs)
 
 
 def test_near_odd_rows(odd, empty):
