@@ -105,13 +105,22 @@ def test_bits_of_a_token_sum_to_one():
     rng = np.random.default_rng(1)
     tables.slots[:, 0] = rng.normal(0, 2, len(tables.slots))
     tables.slots[:, 1] = rng.integers(0, 300, len(tables.slots))
-    first = np.zeros(256)
-    for b in range(256):
-        s = lm_score.Spelling([bytes([b])], np.array([0]))
-        s.data, s.place, s.token = s.data[:1], s.place[:1], s.token[:1]
-        s.contexts = [c[:1] for c in s.contexts]
-        first[b] = 10 ** mixer.score(s, tables)[0]
-    assert abs(first.sum() - 1) < 1e-6
+    spelled = lm_score.Spelling([bytes([b]) + b"x" for b in range(256) if b != 10] + [b"\n"], np.zeros(256, np.int64))
+    only = spelled.place == 0
+    spelled.data, spelled.place, spelled.contexts = spelled.data[only], spelled.place[only], [c[only] for c in spelled.contexts]
+    spelled.which, spelled.starts = np.arange(256), np.arange(256)
+    first = 10 ** mixer.score(spelled, tables)
+    assert len(first) == 256 and abs(first.sum() - 1) < 1e-6
+
+
+def test_shared_beginnings_change_no_score():
+    tables, mixer = lm_score.Tables([b"the", b"a"], [(0, b"the")]), lm_score.Mixer()
+    rng = np.random.default_rng(2)
+    tables.slots[:, 0], tables.slots[:, 1] = rng.normal(0, 2, len(tables.slots)), rng.integers(0, 300, len(tables.slots))
+    tokens, classes = [b"the", b"then", b"the", b"\n", b"t", b"\xc3\xbc", b"then"], np.array([0, 0, 3, 0, 0, 2, 3])
+    together = mixer.score(lm_score.Spelling(tokens, classes), tables)
+    alone = [mixer.score(lm_score.Spelling([t], np.array([c])), tables)[0] for t, c in zip(tokens, classes, strict=True)]
+    assert np.allclose(together, alone)
 
 
 def test_scores_beat_the_base_on_held_out_text(spark):
