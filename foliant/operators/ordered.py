@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def list_counters(rows: DataFrame, keys: list[str], order: list[str], level: str, levels: int) -> DataFrame:
-    """count_0 ... count_k: each level's counter as of a row; a shallower row starts deeper levels again."""
+def list_counters(rows: DataFrame, keys: list[str], order: list[str], level: str, levels: int, restart: dict[int, int | None] | None = None) -> DataFrame:
+    """count_0 ... count_k: each level's counter as of a row; a shallower row starts deeper levels again.
+
+    restart: levels that start again only after a row of the given level, or never (None).
+    """
     by_list = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    groups = {f"__grp_{k}": F.count(F.when(F.col(level) < k, 1)).over(by_list) for k in range(levels)}
+    restart = restart or {}
+
+    def starts_again(k: int) -> Column:
+        if k not in restart:
+            return F.col(level) < k
+        return F.lit(False) if restart[k] is None else F.col(level) == restart[k]
+
+    groups = {f"__grp_{k}": F.count(F.when(starts_again(k), 1)).over(by_list) for k in range(levels)}
     out = rows.withColumns(groups)
     for k in range(levels):
         w = Window.partitionBy(*keys, f"__grp_{k}").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from foliant.functions import colour, numbers, text, units
-from foliant.operators import cascade
+from foliant.functions import colour, math_letters, numbers, text, units
+from foliant.operators import cascade, ordered
 
 
 def one(spark, **columns):
@@ -41,3 +41,14 @@ def test_cascade_keeps_stated_nones_and_ends_cycles(spark):
     styles = spark.createDataFrame(rows, "doc string, id string, up string, size int, colour struct<value: string>")
     got = {r.id: (r.size, r.colour) for r in cascade.style_chain(styles, ["doc"], "id", "up", ["size", "colour"], depth=16).collect()}
     assert got["mid"] == (1, (None,)) and got["leaf"] == (3, (None,)) and got["lost"] == (None, None) and got["x"][0] == 9
+
+
+def test_math_letters():
+    assert math_letters.spelled("xh", "italic") == "\U0001d465\u210e" and math_letters.spelled("R1", "double-struck") == "\u211d\U0001d7d9" and math_letters.spelled("\u03b1 +", "bold") == "\U0001d6c2 +" and math_letters.spelled("h", None) == "h"
+
+
+def test_counters_that_do_not_start_again(spark):
+    rows = spark.createDataFrame([(1, i, lvl) for i, lvl in enumerate([0, 1, 2, 1, 2, 0, 2])], "k int, i int, lvl int")
+    got = lambda **how: [tuple(r) for r in ordered.list_counters(rows, ["k"], ["i"], "lvl", 3, **how).orderBy("i").select("count_1", "count_2").collect()]
+    assert got() == [(0, 0), (1, 0), (1, 1), (2, 0), (2, 1), (0, 0), (0, 1)]
+    assert got(restart={1: None, 2: 0}) == [(0, 0), (1, 0), (1, 1), (2, 1), (2, 2), (2, 0), (2, 1)]
