@@ -20,9 +20,20 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def named(df: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
-    """df with a column name: an integer for each distinct value of the keys, in their sorted order within each shuffle partition."""
-    names = df.select(*keys).distinct().sortWithinPartitions(*keys).withColumn("name", F.monotonically_increasing_id())
-    return join_on(df, names, keys, hot)
+    """df with a column name: an integer for each distinct value of the keys, in their sorted order within each shuffle partition.
+
+    Hot keys and the rest are numbered apart (odd and even), each in the one branch that joins them: a table of names
+    that both branches read would be planned twice, and be numbered by other partitions each time.
+    """
+
+    def names(rows: DataFrame, odd: int) -> DataFrame:
+        return rows.select(*keys).distinct().sortWithinPartitions(*keys).withColumn("name", 2 * F.monotonically_increasing_id() + odd)
+
+    if not hot:
+        return join_on(df, names(df, 0), keys, [])
+    is_hot = F.xxhash64(*keys).isin(list(hot))
+    rest, common = df.where(~is_hot), df.where(is_hot)
+    return join_on(rest, names(rest, 0), keys, []).unionByName(join_on(common, F.broadcast(names(common, 1)), keys, []))
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:

@@ -122,3 +122,25 @@ def test_near_odd_rows(odd, empty):
     assert {(r.class_id, r.class_size) for r in got if r.doc_id in (1, 5)} == {(1, 3)}
     stay = near_dup.without_near_copies(odd)
     assert stay.columns == odd.columns and stay.count() == sum(r.kept for r in got)
+
+
+def test_names_are_one_to_one_with_hot_keys(spark):
+    """Both branches of a join with hot keys must number alike, whatever partitions they are coalesced to."""
+    from pyspark.sql import functions as F
+
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        key = F.when(F.col("id") % 9 == 0, F.col("id") % 27).otherwise(F.col("id"))
+        df = spark.range(90_000).select("id", F.concat(F.lit("block "), F.repeat(key.cast("string"), 9)).alias("block"))
+        hot = exact_dedup.hot_keys(df, ["block"])
+        assert len(hot) == 3
+        got = exact_dedup.named(df, ["block"], hot).select("id", "block", "name").collect()
+        pairs = {(r.block, r.name) for r in got}
+        assert len(got) == 90_000 and len(pairs) == len({b for b, _ in pairs}) == len({n for _, n in pairs}) == 80_003
+        docs = df.select(F.col("id").alias("doc_id"), F.col("block").alias("text"))
+        assert exact_dedup.text_classes(docs).where("kept").count() == 80_003
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
