@@ -221,7 +221,7 @@ def flat(items: list, start: int = 0) -> list[tuple[str, list, int]]:
 
 
 class Wrapper:
-    """slots: for each text slot, the labels above it."""
+    """slots: for each text slot, the labels above it. kinds: what they say, see kind_of()."""
 
     def __init__(self, items: list):
         self.slots: list[tuple[str, ...]] = []
@@ -229,6 +229,7 @@ class Wrapper:
         self.number: dict[int, int] = {}
         self.items = items
         self._walk(items, ())
+        self.kinds = [kind_of(above) for above in self.slots]
 
     def _walk(self, items: list, above: tuple[str, ...]) -> None:
         level = self.levels[id(items)] = flat(items)
@@ -267,51 +268,61 @@ class Wrapper:
                 yield (-2, above, "", False)
 
 
-def is_main(above: tuple[str, ...]) -> bool:
-    return any(MAIN.search(n) for n in above)
+NEITHER, WRAPPED, ARTICLE = 1, 2, 3
 
 
-def is_beside(above: tuple[str, ...]) -> bool:
-    """Menus, headers, footers and so on, by tags and classes. A header within the article is kept for its headings."""
-    inside = False
+def kind_of(above: tuple[str, ...]) -> int:
+    """0: menus, headers, footers and so on, by tags and classes. A header within the article is kept for its headings.
+
+    What a class says of html, body and what is around an article may be meant for their other parts (has-sidebar). So
+    html and body are not looked at, and an article in a wrapper of that kind is WRAPPED: it counts if there's no other.
+    """
+    first = next((i for i, n in enumerate(above) if MAIN.search(n)), len(above))
+    kind = ARTICLE if first < len(above) else NEITHER
     for i, n in enumerate(above):
         name, _, words = n.partition(".")
-        if name in BESIDE or (words and ASIDE_WORDS.search(words.replace(".", " "))):
-            return True
-        inside = inside or bool(MAIN.search(n))
-        if name == "header" and not (inside and any(x.partition(".")[0] in HEADINGS for x in above[i:])):
-            return True
-    return False
+        if name in BESIDE:
+            return 0
+        if words and name not in ("html", "body") and ASIDE_WORDS.search(words.replace(".", " ")):
+            if i >= first or kind == NEITHER:
+                return 0
+            kind = WRAPPED
+        if name == "header" and not (i >= first and any(x.partition(".")[0] in HEADINGS for x in above[i:])):
+            return 0
+    return kind
 
 
 def content_slots(wrapper: Wrapper, counts: dict[int, tuple[int, int, int, int]]) -> list[int]:
-    """counts: slot: texts, different ones, characters, characters in links."""
-    some_main = any(is_main(above) and not is_beside(above) for above in wrapper.slots)
+    """Slots that may hold the main text of a page. counts: slot: texts, different ones, characters, characters in links."""
     out = []
-    for slot, above in enumerate(wrapper.slots):
+    for slot, kind in enumerate(wrapper.kinds):
         n, different, chars, linked = counts.get(slot, (0, 0, 0, 0))
-        if is_beside(above) or (some_main and not is_main(above)):
+        if not kind:
             continue
-        if not some_main and ((n >= TEMPLATE_TEXTS and different <= TEMPLATE_SHARE * n) or linked > LINK_SHARE * chars):
+        if kind == NEITHER and ((n >= TEMPLATE_TEXTS and different <= TEMPLATE_SHARE * n) or linked > LINK_SHARE * chars):
             continue
         out.append(slot)
     return out
 
 
 def main_text(page: Element, wrapper: Wrapper, content: set[int]) -> str:
-    """Blocks joined by an empty line. A text that the wrapper has no slot for is judged by its tags alone."""
-    some_main = any(is_main(wrapper.slots[s]) for s in content)
+    """Blocks joined by an empty line. Each page has its own best kind of text, whatever other pages of its host have.
+
+    A text that the wrapper has no slot for is judged by its tags alone.
+    """
+    found = [(slot if slot < -1 else kind_of(above) if slot == -1 else wrapper.kinds[slot] if slot in content else 0, text) for slot, above, text, _ in wrapper.texts(page)]
+    best = max((kind for kind, _ in found if kind > 0), default=NEITHER)
     blocks: list[str] = []
     own: list[str] = []
-    for slot, above, text, _ in wrapper.texts(page):
-        if slot == -2:
+    for kind, text in found:
+        if kind == -2:
             if own:
                 blocks.append("".join(own))
                 own = []
-        elif slot == -3:
+        elif kind == -3:
             if own:
                 own.append(" ")
-        elif slot in content or (slot == -1 and not is_beside(above) and is_main(above) >= some_main):
+        elif kind == best:
             own.append(text)
     blocks.append("".join(own))
     return "\n\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)

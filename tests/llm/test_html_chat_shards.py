@@ -97,3 +97,14 @@ def test_pipeline(spark):
     want = packing.pack_documents(want, public_tokenizers.path("byte_bpe_50k.json"))
     key = lambda df: sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in df.collect())
     assert key(corpus_pipeline.run(spark, SF)) == key(want)
+
+
+def test_main_text_is_decided_for_each_page(spark):
+    article = '<html><body class="{1}"><div class="{2}"><article><h1>Head {0}</h1><p>Text {0}</p></article></div><p>Read {0} more</p></body></html>'
+    story = "<html><body><div class=story><p>Story {0}</p><p>goes on {0}</p></div></body></html>"
+    for url in ("http://mixed.example/{}", "none {}"):
+        rows = [(k, url.format(k), story.format(k) if k % 3 == 1 else article.format(k, *(("has-sidebar", "x"), ("x", "with-sidebar"))[k % 2])) for k in range(24)]
+        got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got == {k: f"Story {k}\n\ngoes on {k}" if k % 3 == 1 else f"Head {k}\n\nText {k}" for k in range(24)}
+    comments = "<html><body><main><p>Text</p></main><div class=comments><article>Nice!</article></div></body></html>"
+    assert [r.text for r in html_text.extract_text(spark.createDataFrame([(1, None, comments)], "page_id long, url string, html string")).collect()] == ["Text"]
