@@ -2,15 +2,18 @@
 
 A text is cut before each run of blanks; blanks become the piece set's mark, and one is put in front. Characters that
 no piece has, and the mark itself, are spelled as bytes. Each chunk keeps an agenda of candidate merges, best score
-first, then leftmost; a candidate comes off and is skipped if a hash of the seed, the variant, the chunk and the
-candidate's place is below the dropout. A document's variant is a hash of its id, so documents segment the same word in
-up to VARIANTS ways, and a worker works out each chunk once a variant. Any segmentation decodes to the same text.
+first, then leftmost; a candidate comes off and is skipped if a hash of the seed, the document, the chunk's number in
+the text and the candidate's place is below the dropout. So each occurrence of a word has its own draws. What a chunk's
+pieces are once it is known which candidates are skipped doesn't depend on the occurrence, and a worker remembers that.
+Any segmentation decodes to the same text.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -21,13 +24,25 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import text_or_empty
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 4
-#: Chunks remembered by a worker, at most.
-REMEMBERED = 1_000_000
+DROPOUT, SEED = 0.1, 17
+#: Documents' keys that the round trips of the tests go through. It bounds nothing here.
+VARIANTS = 4
+#: Segmentations remembered by a worker, at most, and code points of the longest chunk with remembered ones.
+REMEMBERED, LONGEST = 400_000, 24
 MARK = "▁"
 _CHUNK = re.compile(" *[^ ]+| +")
 
 
+class Segmentation:
+    """A chunk's pieces when given candidates are skipped: codes of the merges that were made, and ids, both packed."""
+
+    __slots__ = ("codes", "ids", "skipped", "without")
+
+    def __init__(self, skipped: frozenset[int], merges: list[int], ids: list[int]):
+        self.skipped, self.codes, self.ids = skipped, struct.pack(f"<{len(merges)}Q", *merges), struct.pack(f"<{len(ids)}I", *ids)
+        self.without: dict[int, Segmentation] | None = None  # by the next candidate that is skipped
+
+
 class PieceModel:
     def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         import sentencepiece
@@ -49,17 +64,20 @@ class PieceModel:
                 self.spelled[i] = piece.replace(MARK, " ").encode()
         if not all(self.byte):
             raise ValueError("the pieces lack bytes, so that not every text can be encoded")
-        self.known: dict[tuple[int, str], bytes] = {}
+        self.order = {piece: -self.scores[i] for piece, i in self.ids.items()}
+        self.least = int(dropout * 2**32)
+        self.known: dict[str, Segmentation] = {}
+        self.remembered = 0
 
-    def segments(self, chunk: str, variant: int) -> list[int]:
-        """Piece ids of a chunk, whose blanks come first."""
+    def segments(self, chunk: str, is_skipped: Callable[[int], bool]) -> tuple[list[int], list[int]]:
+        """The codes of the merges made and the piece ids of a chunk, whose blanks come first."""
         symbols: list[str | None] = [MARK if c == " " else c for c in chunk]
         n = len(symbols)
         mergeable = [c != MARK for c in chunk]  # a mark in the text is spelled as bytes
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         ends = list(range(1, n + 1))
-        key = zlib.crc32(chunk.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant) if self.dropout else 0
-        least, ids, scores = int(self.dropout * 2**32), self.ids, self.scores
+        ids, scores = self.ids, self.scores
+        merges: list[int] = []
         agenda: list[tuple[float, int, int, str]] = []
 
         def offer(left: int, right: int) -> None:
@@ -79,8 +97,10 @@ class PieceModel:
             right = after[left]
             if right < 0 or symbols[right] is None or ends[right] != end or symbols[left] + symbols[right] != piece:
                 continue
-            if least and _mixed(key ^ (left * 0x9E3779B1) ^ (end * 0x85EBCA77)) < least:
+            code = (left * _M1 + end * _M2) & _ALL
+            if is_skipped(code):
                 continue
+            merges.append(code)
             symbols[left], ends[left], symbols[right] = piece, end, None
             after[left] = after[right]
             if after[left] >= 0:
@@ -96,20 +116,85 @@ class PieceModel:
                 out.append(i)
             else:
                 out += [self.byte[b] for b in (MARK if not mergeable[k] else s).encode("utf-8", "surrogatepass")]
+        return merges, out
+
+    def short_segments(self, chunk: str, skipped: frozenset[int]) -> tuple[list[int], list[int]]:
+        """segments() of a short chunk without marks of its own: looking through all pairs takes less than an agenda."""
+        symbols, starts = list(chunk.replace(" ", MARK)), list(range(len(chunk) + 1))
+        order, none = self.order.get, math.inf
+        ranks = [order(a + b, none) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
+        merges: list[int] = []
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            code = (starts[i] * _M1 + starts[i + 2] * _M2) & _ALL
+            if code in skipped:
+                ranks[i] = none
+                continue
+            merges.append(code)
+            symbols[i] += symbols.pop(i + 1)
+            del starts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = order(symbols[i - 1] + symbols[i], none)
+            if i < len(ranks):
+                ranks[i] = order(symbols[i] + symbols[i + 1], none)
+        ids = self.ids
+        return merges, [k for s in symbols for k in ((ids[s],) if s in ids else [self.byte[b] for b in s.encode("utf-8", "surrogatepass")])]
+
+    def segmentation(self, chunk: str, before: Segmentation | None = None, code: int = 0) -> Segmentation:
+        """Without any skipped candidate, or with one more than before."""
+        self.remembered += 1
+        skipped = before.skipped | {code} if before else frozenset()
+        out = Segmentation(skipped, *(self.segments(chunk, skipped.__contains__) if MARK in chunk else self.short_segments(chunk, skipped)))
+        if before is None:
+            self.known[chunk] = out
+        else:
+            before.without = before.without or {}
+            before.without[code] = out
         return out
 
-    def encode(self, text: str, variant: int = 0) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. An empty text has none."""
+    def keys(self, document: int, n: int) -> np.ndarray:
+        """Of the first n chunks of a document."""
+        first = mixed(np.array([(document * _M2 + self.seed) & _ALL], np.uint64))
+        return mixed(first + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(_M1))
+
+    def skips(self, key: int) -> Callable[[int], bool]:
+        return lambda code: bool(mixed(np.array([key ^ code], np.uint64))[0] >> np.uint64(32) < self.least)
+
+    def encode(self, text: str, document: int = 0) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers. An empty text has none. document: a hash of its id."""
         if not text:
             return b""
-        if len(self.known) > REMEMBERED:
+        if self.remembered > REMEMBERED:
             self.known.clear()
-        known, out = self.known, []
-        for chunk in _CHUNK.findall(" " + text):
-            ids = known.get((variant, chunk))
-            if ids is None:
-                ids = known[variant, chunk] = np.array(self.segments(chunk, variant), "<u4").tobytes()
-            out.append(ids)
+            self.remembered = 0
+        chunks = _CHUNK.findall(" " + text)
+        keys, out = self.keys(document, len(chunks)), [b""] * len(chunks)
+        at, held = [], []
+        for i, chunk in enumerate(chunks):
+            if len(chunk) > LONGEST:
+                _, ids = self.segments(chunk, self.skips(int(keys[i])) if self.least else lambda _: False)
+                out[i] = np.array(ids, "<u4").tobytes()
+            else:
+                at.append(i)
+                held.append(self.known.get(chunk) or self.segmentation(chunk))
+        while at:  # each round finds the next skipped candidate of those that have one
+            for i, h in zip(at, held, strict=True):
+                out[i] = h.ids
+            if not self.least:
+                break
+            codes = np.frombuffer(b"".join([h.codes for h in held]), "<u8")
+            owner = np.repeat(np.arange(len(at)), np.fromiter((len(h.codes) // 8 for h in held), np.int64, len(held)))
+            hit = np.flatnonzero(mixed(keys[np.array(at)][owner] ^ codes) >> np.uint64(32) < self.least)
+            who, first = np.unique(owner[hit], return_index=True)
+            next_at, next_held = [], []
+            for k, code in zip(who.tolist(), codes[hit[first]].tolist(), strict=True):
+                h = held[k]
+                next_at.append(at[k])
+                next_held.append((h.without and h.without.get(code)) or self.segmentation(chunks[at[k]], h, code))
+            at, held = next_at, next_held
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
@@ -118,11 +203,13 @@ class PieceModel:
         return b"".join([spelled[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "surrogatepass")[1:]
 
 
-def _mixed(x: int) -> int:
-    x &= 0xFFFFFFFF
-    x = ((x ^ (x >> 16)) * 0x7FEB352D) & 0xFFFFFFFF
-    x = ((x ^ (x >> 15)) * 0x846CA68B) & 0xFFFFFFFF
-    return x ^ (x >> 16)
+_M1, _M2, _ALL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 2**64 - 1
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 _models: dict[tuple, PieceModel] = {}
@@ -138,7 +225,7 @@ def _encode(path: str, dropout: float, seed: int) -> Callable[[Iterator[pa.Recor
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path, dropout, seed)
         for batch in batches:
-            ids = [model.encode(t.as_py(), v) for t, v in zip(batch.column("__text"), batch.column("__variant").to_pylist(), strict=True)]
+            ids = [model.encode(t.as_py(), v) for t, v in zip(batch.column("__text"), batch.column("__document").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_sha256"), pa.array(ids, pa.binary())], ["doc_id", "text_sha256", "ids"])
 
     return run
@@ -151,7 +238,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, dropout: float = DROPOUT, see
     are not looked at.
     """
     text = text_or_empty(text_col)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"), F.pmod(F.xxhash64(id_col), F.lit(VARIANTS)).alias("__variant"), text.alias("__text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"), F.xxhash64(id_col).alias("__document"), text.alias("__text"))
     return own.mapInArrow(_encode(vocabulary, dropout, seed), "doc_id long, text_sha256 string, ids binary")
 
 

@@ -103,3 +103,21 @@ def test_pieces_odd_rows(odd, empty):
     got = pieces.decode_ids(pieces.encode_texts(odd, path), path)
     assert sorted((r.text for r in got.collect())) == sorted(r.text or "" for r in odd.collect())
     assert pieces.encode_texts(empty, path).count() == 0
+
+
+def test_each_occurrence_has_its_own_draws():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, n = pieces.PieceModel(path), 3000
+    key = lambda d, k: int(model.keys(d, k + 1)[k])
+    words = ["international", "documents", "a", "zürich", "😀x", "y" * 60]
+    rnd = random.Random(3)
+    text = " ".join(rnd.choice(words) for _ in range(n))
+    chunks = [" " + w for w in text.split(" ")]
+    for doc in (5, -(2**63)):  # what is remembered gives what the draws of each occurrence give by themselves
+        want = [model.segments(c, model.skips(key(doc, k)))[1] for k, c in enumerate(chunks)]
+        assert np.frombuffer(model.encode(text, doc), "<u4").tolist() == [i for ids in want for i in ids]
+    forms = {tuple(ids) for c, ids in zip(chunks, want, strict=True) if c == " international"}
+    assert len(forms) > 8 and len({model.encode("international documents", d) for d in range(500)}) > 20
+    merges = [c for ch in set(chunks) for c in model.segments(ch, lambda _: False)[0]]
+    share = np.mean([model.skips(key(9, k))(c) for k in range(400) for c in merges[:50]])
+    assert abs(share - pieces.DROPOUT) < 0.01
