@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.storage import cut
+
 
 def stated(value: Column) -> Column:
     """A value that is stated, null included."""
@@ -25,12 +27,14 @@ def style_chain(styles: DataFrame, keys: list[str], style: str, based_on: str, p
 
     Pointers double: each round every style takes what its pointer's style has gathered and points where that one does,
     so a chain of n styles takes log2(n) joins. A missing style ends a chain; so do depth styles, which ends cycles.
+    Each round is written to reliable storage, so the plan of the next one reads it twice whatever the depth.
     """
     out = styles.select(*keys, style, F.col(based_on).alias("__up"), *properties)
     for _ in range(max(1, depth - 1).bit_length()):
         above = out.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col(style).alias("__style"), F.col("__up").alias("__next"), *(F.col(p).alias(f"__{p}") for p in properties))
         on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__{k}") for k in keys] + [F.col("__up") == F.col("__style")])
         out = out.join(above, on, "left").select(*keys, style, F.col("__next").alias("__up"), *(merged(F.col(f"__{p}"), F.col(p)).alias(p) for p in properties))
+        out = cut(out)
         if not out.where(F.col("__up").isNotNull()).limit(1).count():
             break
     return out.drop("__up")

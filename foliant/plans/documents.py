@@ -26,10 +26,10 @@ def resolved_paragraphs(nodes: DataFrame) -> DataFrame:
     out = out.withColumn("num_id", F.coalesce("num_id", "s_num")).withColumn("num_id", F.when(F.col("num_id") != "0", F.col("num_id"))).withColumn("ilvl", F.coalesce("ilvl", "s_ilvl", F.lit(0)))
     table = package.numbering(nodes)
     listed = ordered.list_counters(out.where("num_id IS NOT NULL").select("doc_id", "num_id", "ilvl", "p_idx"), ["doc_id", "num_id"], ["p_idx"], "ilvl", LEVELS)
-    levels = table.groupBy("doc_id", "num_id").agg(F.map_from_entries(F.collect_list(F.struct("ilvl", F.struct("format", "text", "start")))).alias("levels"))
+    levels = table.groupBy("doc_id", "num_id").agg(F.map_from_entries(F.collect_list(F.struct("ilvl", F.struct("format", "level_text", "start")))).alias("levels"))
     listed = listed.join(levels, ["doc_id", "num_id"])
     shown = [numbers.written(F.greatest(F.col(f"count_{k}"), F.lit(1)) + F.col("levels")[k]["start"] - 1, F.col("levels")[k]["format"]) for k in range(LEVELS)]
-    listed = listed.select("doc_id", "p_idx", numbers.filled(F.col("levels")[F.col("ilvl")]["text"], shown).alias("number"))
+    listed = listed.select("doc_id", "p_idx", numbers.filled(F.col("levels")[F.col("ilvl")]["level_text"], shown).alias("number"))
     out = out.join(listed, ["doc_id", "p_idx"], "left")
     return out.select("doc_id", "p_idx", "sec_idx", "style_id", "number", "text", F.coalesce("size_pt", F.lit(10.0)).alias("size_pt"), F.coalesce("bold", F.lit(False)).alias("bold"), F.coalesce("italic", F.lit(False)).alias("italic"))
 

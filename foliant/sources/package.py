@@ -196,18 +196,18 @@ def styles(nodes: DataFrame) -> DataFrame:
 
 
 def numbering(nodes: DataFrame) -> DataFrame:
-    """(doc_id, num_id, ilvl, format, text, start, restart): abstract levels joined to instances; an override replaces the start."""
+    """(doc_id, num_id, ilvl, format, level_text, start, restart): abstract levels joined to instances; an override replaces the start."""
     part = "word/numbering.xml"
     inner = lambda name: nodes.where((F.col("part") == part) & (F.col("ns") == W) & (F.col("name") == name)).select("doc_id", F.col("parent_id").alias("up"), attribute("val").alias("val"))
     abstract = named(nodes, "abstractNum", part=part).select("doc_id", F.col("node_id").alias("a_node"), attribute("abstractNumId").alias("a_id"))
     levels = named(nodes, "lvl", part=part).select("doc_id", F.col("parent_id").alias("a_node"), F.col("node_id").alias("l_node"), attribute("ilvl").try_cast("int").alias("ilvl")).join(abstract, ["doc_id", "a_node"])
-    for name, column in (("numFmt", "format"), ("lvlText", "text"), ("start", "start"), ("lvlRestart", "restart")):
+    for name, column in (("numFmt", "format"), ("lvlText", "level_text"), ("start", "start"), ("lvlRestart", "restart")):
         levels = levels.join(inner(name).select("doc_id", F.col("up").alias("l_node"), F.col("val").alias(column)), ["doc_id", "l_node"], "left")
     nums = named(nodes, "num", part=part).select("doc_id", F.col("node_id").alias("n_node"), attribute("numId").alias("num_id")).join(inner("abstractNumId").select("doc_id", F.col("up").alias("n_node"), F.col("val").alias("a_id")), ["doc_id", "n_node"])
     over = named(nodes, "lvlOverride", part=part).select("doc_id", F.col("parent_id").alias("n_node"), F.col("node_id").alias("o_node"), attribute("ilvl").try_cast("int").alias("ilvl"))
     over = over.join(inner("startOverride").select("doc_id", F.col("up").alias("o_node"), F.col("val").try_cast("int").alias("own_start")), ["doc_id", "o_node"]).select("doc_id", "n_node", "ilvl", "own_start")
     out = nums.join(levels, ["doc_id", "a_id"]).join(over, ["doc_id", "n_node", "ilvl"], "left")
-    return out.select("doc_id", "num_id", "ilvl", F.coalesce("format", F.lit("decimal")).alias("format"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("own_start", F.col("start").try_cast("int"), F.lit(0)).alias("start"), F.col("restart").try_cast("int").alias("restart"))
+    return out.select("doc_id", "num_id", "ilvl", F.coalesce("format", F.lit("decimal")).alias("format"), F.coalesce("level_text", F.lit("")).alias("level_text"), F.coalesce("own_start", F.col("start").try_cast("int"), F.lit(0)).alias("start"), F.col("restart").try_cast("int").alias("restart"))
 
 
 def paragraphs(nodes: DataFrame) -> DataFrame:
@@ -218,9 +218,11 @@ def paragraphs(nodes: DataFrame) -> DataFrame:
     body = nodes.where(F.col("part") == MAIN_PART)
     hidden = body.where(((F.col("ns") == W) & (F.col("name") == "txbxContent")) | ((F.col("ns") == MC) & (F.col("name") == "Fallback"))).select("doc_id", F.col("node_id").alias("h"), F.col("last_desc").alias("h_last"))
     seen = body.join(hidden, (body.doc_id == hidden.doc_id) & body.node_id.between(hidden.h, hidden.h_last), "left_anti")
-    p = named(seen, "p").select("doc_id", F.col("node_id").alias("p"), F.col("last_desc").alias("p_last"))
-    inner = seen.where((F.col("ns") == W) & F.col("name").isin("pStyle", "numId", "ilvl", "t", "tab", "br", "sectPr")).select("doc_id", "node_id", "name", "attrs", "text")
-    within = p.join(inner, "doc_id", "left").where(F.col("node_id").isNull() | F.col("node_id").between(F.col("p"), F.col("p_last")))
+    w = Window.partitionBy("doc_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    is_p = (F.col("ns") == W) & (F.col("name") == "p")
+    inner = seen.where(F.col("ns") == W).where(F.col("name").isin("p", "pStyle", "numId", "ilvl", "t", "tab", "br", "sectPr")).select("doc_id", "node_id", "last_desc", "name", "attrs", "text", F.last_value(F.when(is_p, F.struct(F.col("node_id").alias("p"), F.col("last_desc").alias("p_last"))), ignoreNulls=True).over(w).alias("at"))
+    p = inner.where(F.col("name") == "p").select("doc_id", F.col("node_id").alias("p"), F.col("last_desc").alias("p_last"))
+    within = inner.where((F.col("name") != "p") & (F.col("node_id") <= F.col("at.p_last"))).withColumn("p", F.col("at.p"))
     first = lambda name: F.min_by(F.when(F.col("name") == name, attribute("val")), F.when(F.col("name") == name, F.col("node_id")))
     spelled = F.when(F.col("name") == "t", F.col("text")).when(F.col("name").isin("tab"), F.lit("\t")).when(F.col("name") == "br", F.lit("\n"))
     pieces = F.transform(F.sort_array(F.collect_list(F.when(spelled.isNotNull(), F.struct("node_id", spelled.alias("s"))))), lambda x: x["s"])

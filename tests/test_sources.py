@@ -54,7 +54,7 @@ def test_parts_state(nodes):
     assert [tuple(r) for r in P.settings(n).collect()] == [("d1", 360, 15)]
     assert {(r.rid, r.target) for r in P.relationships(n).where("owner = 'word/document.xml'").collect()} == {("r1", "word/header1.xml"), ("r2", "word/x/z.xml")}
     assert P.resolve_target("word/document.xml", "../media/a.png") == "media/a.png"
-    assert {(r.ilvl, r.format, r.text, r.start) for r in P.numbering(n).collect()} == {(0, "decimal", "%1.", 1), (1, "lowerLetter", "%2)", 3)}
+    assert {(r.ilvl, r.format, r.level_text, r.start) for r in P.numbering(n).collect()} == {(0, "decimal", "%1.", 1), (1, "lowerLetter", "%2)", 3)}
     assert [(r.sec_idx, r.width_twips, r.columns, r.kind) for r in P.sections(n).orderBy("sec_idx").collect()] == [(0, 100, 1, "continuous"), (1, 300, 2, "nextPage")]
 
 
@@ -73,7 +73,7 @@ def test_paragraphs_sections_and_list_numbers(nodes):
 
     at = F.when(F.col("ilvl") == 0, F.col("count_0")).otherwise(F.col("count_1")) + F.col("start") - 1
     shown = numbers.written(at, F.col("format"))
-    assert [r.s for r in counted.orderBy("p_idx").select(numbers.filled(F.col("text"), [shown, shown]).alias("s")).collect()] == ["1.", "c)", "d)", "2.", "c)"]
+    assert [r.s for r in counted.orderBy("p_idx").select(numbers.filled(F.col("level_text"), [shown, shown]).alias("s")).collect()] == ["1.", "c)", "d)", "2.", "c)"]
 
 
 def test_png_and_gif():
