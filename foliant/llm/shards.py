@@ -28,6 +28,8 @@ from foliant.llm.common import Scratch
 
 #: Shards of a tier that are merged; bytes of a full shard; merges that go on at the same time.
 FAN_IN, TARGET, MERGES = 8, 128_000_000, 16
+#: A run is no longer than so many targets.
+MOST_TARGETS = 1.2
 #: Attempts to commit after other writers' commits; seconds after which a file that no manifest has ever named is nobody's.
 ATTEMPTS, ORPHAN_S = 100, 7 * 86_400
 
@@ -141,6 +143,9 @@ class ShardTable:
                 continue
             run: list[Shard] = []
             for s in tiers[tier]:
+                if sum(x.bytes for x in run) + s.bytes > MOST_TARGETS * self.target:
+                    runs += [run] if len(run) > 1 else []
+                    run = []
                 run.append(s)
                 if len(run) == self.fan_in or sum(x.bytes for x in run) >= self.target:
                     runs.append(run)

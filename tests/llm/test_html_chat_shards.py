@@ -86,16 +86,16 @@ def test_a_run_is_a_file_and_tiers_have_fewer_than_the_fan_in(spark, tmp_path):
     table = shards.ShardTable(spark, f"file://{tmp_path}/t", fan_in=4, target=20_000)
     for k in range(24):
         table.append(spark.range(k * 1000, k * 1000 + 1000).select("id", F.xxhash64("id").alias("h")).coalesce(1))
-    small = table.manifest()[0].bytes
     table.compact()
     got = table.manifest()
     tiers = {}
     for s in got:
         tiers.setdefault(table.tier(s.bytes), []).append(s)
-    assert len(got) > 1 and max(s.bytes for s in got) <= table.target + 4 * small and all(len(v) < 4 for t, v in tiers.items() if t <= 0)
+    assert len(got) > 1 and max(s.bytes for s in got) <= shards.MOST_TARGETS * table.target and all(len(v) < 4 for t, v in tiers.items() if t <= 0)
     assert table.read().count() == 24_000 and table.read().select("id").distinct().count() == 24_000
-    full = [s for s in got if s.bytes >= table.target]
-    assert len(full) >= 24 * small // (2 * table.target)
+    assert sum(s.bytes > table.target / 2 for s in got) > 1
+    table.compact(last=True)
+    assert max(s.bytes for s in table.manifest()) <= shards.MOST_TARGETS * table.target and table.read().count() == 24_000
 
 
 def test_compaction_leaves_other_writers_alone(spark, tmp_path, monkeypatch):
