@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -21,6 +22,9 @@ def test_word_ids_equal_the_library(spark, name, kind):
         assert np.frombuffer(got, "<u4").tolist() == ids.library.encode(t, add_special_tokens=False).ids, t
 
 
+pieces_re = re.compile(" *[^ ]+| +")
+
+
 def test_best_fit_and_its_bins():
     rnd = random.Random(4)
     bins, own = packing.BestFit(100, 8), {}
@@ -91,11 +95,12 @@ def test_pieces_without_dropout_equal_sentencepiece_and_decode(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     sp, plain, dropped = sentencepiece.SentencePieceProcessor(model_file=path), pieces.PieceModel(path, 0.0), pieces.PieceModel(path)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(40).collect()]
+    one = lambda m, t, v=0: m.encode([t], [v])[0]
     for t in texts:
-        assert np.frombuffer(plain.encode(t), "<u4").tolist() == sp.encode(t)
+        assert np.frombuffer(one(plain, t), "<u4").tolist() == sp.encode(t)
     for t in [*texts, "", " ", "  a  b ", "▁ x▁▁y", "日本語 😀\x00", "a" * 3000, "<s> </s> <0x41>"]:
-        assert all(m.decode(m.encode(t, v)) == t for m in (plain, dropped) for v in range(pieces.VARIANTS))
-    assert dropped.encode(texts[0], 1) == pieces.PieceModel(path).encode(texts[0], 1) and len({dropped.encode(texts[0], v) for v in range(4)}) > 1
+        assert all(m.decode(one(m, t, v)) == t for m in (plain, dropped) for v in range(4))
+    assert one(dropped, texts[0], 1) == one(pieces.PieceModel(path), texts[0], 1) and len({one(dropped, texts[0], v) for v in range(4)}) > 1
 
 
 def test_pieces_odd_rows(odd, empty):
@@ -105,19 +110,43 @@ def test_pieces_odd_rows(odd, empty):
     assert pieces.encode_texts(empty, path).count() == 0
 
 
-def test_each_occurrence_has_its_own_draws():
+def agenda_of(model, vocabulary, chunk, skipped):
+    """A chunk's pieces by looking through all candidates at every step."""
+    parts = [("▁" if c == " " else c if c != "▁" else "\0", k, k + 1) for k, c in enumerate(chunk)]
+    while True:
+        found = [(model.rank[vocabulary[x[0] + y[0]]], x[1], i) for i, (x, y) in enumerate(zip(parts, parts[1:])) if x[0] + y[0] in vocabulary and not skipped(x[1], y[2])]  # noqa: B905
+        if not found:
+            return [i for p, *_ in parts for i in ([vocabulary[p]] if p in vocabulary else model.byte[list(p.replace("\0", "▁").encode())].tolist())]
+        i = min(found)[2]
+        parts[i : i + 2] = [(parts[i][0] + parts[i + 1][0], parts[i][1], parts[i + 1][2])]
+
+
+def test_each_occurrence_has_its_own_draws(monkeypatch):
+    import sentencepiece
+
     path = public_tokenizers.path("piece_bpe_32k.model")
-    model, n = pieces.PieceModel(path), 3000
-    key = lambda d, k: int(model.keys(d, k + 1)[k])
-    words = ["international", "documents", "a", "zürich", "😀x", "y" * 60]
+    model, n = pieces.PieceModel(path), 600
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    vocabulary = {sp.id_to_piece(i): i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    words = ["international", "documents", "a", "zürich", "😀x", "y" * 60, "", "w▁x", "abc" * 10 + "d"]
     rnd = random.Random(3)
     text = " ".join(rnd.choice(words) for _ in range(n))
-    chunks = [" " + w for w in text.split(" ")]
-    for doc in (5, -(2**63)):  # what is remembered gives what the draws of each occurrence give by themselves
-        want = [model.segments(c, model.skips(key(doc, k)))[1] for k, c in enumerate(chunks)]
-        assert np.frombuffer(model.encode(text, doc), "<u4").tolist() == [i for ids in want for i in ids]
-    forms = {tuple(ids) for c, ids in zip(chunks, want, strict=True) if c == " international"}
-    assert len(forms) > 8 and len({model.encode("international documents", d) for d in range(500)}) > 20
-    merges = [c for ch in set(chunks) for c in model.segments(ch, lambda _: False)[0]]
-    share = np.mean([model.skips(key(9, k))(c) for k in range(400) for c in merges[:50]])
-    assert abs(share - pieces.DROPOUT) < 0.01
+    chunks = pieces_re.findall(" " + text)
+    forms, share = set(), []
+    for doc in (5, -(2**63)):  # matrices, agendas and looking through all candidates give the same
+        first = pieces.mixed(np.array([(doc * pieces._M2 + model.seed) & pieces._ALL], np.uint64))
+        keys = pieces.mixed(first + np.arange(1, len(chunks) + 1, dtype=np.uint64) * np.uint64(pieces._M1))
+        want = []
+        for c, key in zip(chunks, keys.tolist(), strict=True):
+            draw = lambda left, end, key=key: int(pieces.mixed(np.array([key ^ (left * pieces._M1 + end * pieces._M2 & pieces._ALL)], np.uint64))[0] >> np.uint64(32)) < int(model.least)
+            want.append(agenda_of(model, vocabulary, c, draw))
+            share += [draw(i, i + 2) for i in range(20)]
+            if c == " international":
+                forms.add(tuple(want[-1]))
+        want = [i for ids in want for i in ids]
+        assert np.frombuffer(model.encode([text], [doc])[0], "<u4").tolist() == want
+        monkeypatch.setattr(pieces, "LONGEST", 2)
+        assert np.frombuffer(model.encode(["", text, "x"], [1, doc, 2])[1], "<u4").tolist() == want
+        monkeypatch.undo()
+    assert len(forms) > 8 and len(set(model.encode(["international documents"] * 500, range(500)))) > 20
+    assert abs(np.mean(share) - pieces.DROPOUT) < 0.01
