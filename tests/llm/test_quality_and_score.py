@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -55,23 +56,46 @@ def brute_kneser_ney(counts, order):
     return p, gamma, len(level[1]) + 1
 
 
-def test_model_equals_brute_force():
-    words, order = ["the", "then", "cat", "cart", "the", "that", "a", "ü😀"], 3
-    counts = Counter()
-    for w in words:
-        s = " " * (order - 1) + w + "\n"
-        counts.update(s[i : i + order] for i in range(len(w) + 1))
+TRUSTED = ["the cat sat on the mat with a hat and then it ran off again", "thé ü😀 cart and  the\ncat then sat in a cart of the old man by the sea", "a b c d e f g h i j k l m n"]
+
+
+def test_model_equals_brute_force(spark):
+    order, counts = 3, Counter()
+    for t in TRUSTED:
+        s = " " * (order - 1) + "".join(w + " " for w in t.split())
+        counts.update(s[i : i + order] for i in range(len(s) - order + 1))
     p, gamma, v = brute_kneser_ney(counts, order)
-    model = quality.KneserNey(list(counts), np.array(list(counts.values())), order)
-    for w in [*words, "zzz", "thecat", "x"]:
-        s, want = " " * (order - 1) + w + "\n", 0.0
-        for i in range(len(w) + 1):
-            g, k = s[i : i + order], order
-            while k and (k, g[order - k :]) not in p:
-                want += math.log(gamma.get((k, g[order - k : -1]), 1))
-                k -= 1
-            want += math.log(p[k, g[order - k :]] if k else 1 / v)
-        assert abs(model.words([w])[0] - want) < 1e-9, w
+    docs = spark.createDataFrame([(t,) for t in [*TRUSTED, "too short", None, "###### " * 30]], "text string")
+    probes = [*TRUSTED, "zzz", "the\t cat  in the sea ", "x", "", "日本"]
+    for piece in (10**6, 40):  # one piece or many
+        model = quality.fit_model(docs, order=order, piece=piece)
+        got = model.log_probs(quality.Texts(probes, order))
+        assert (len(model.pieces) > 3) == (piece == 40)
+        for t, one in zip(probes, got, strict=True):
+            s, want = " " * (order - 1) + "".join(w + " " for w in t.split()), 0.0
+            for i in range(len(s) - order + 1):
+                g, k = s[i : i + order], order
+                while k and (k, g[order - k :]) not in p:
+                    want += math.log(gamma.get((k, g[order - k : -1]), 1))
+                    k -= 1
+                want += math.log(p[k, g[order - k :]] if k else 1 / v)
+            assert abs(one - want) < 1e-9, t
+
+
+def test_shuffled_and_too_predictable_texts_are_outside_the_bands(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang = 'en' AND doc_id < 5000").repartition(8)
+    good = [r.text for r in docs.where("length(text) > 9000").orderBy("doc_id").limit(12).collect()]
+    rnd, planted = random.Random(5), []
+    for k, t in enumerate(good[:3]):
+        words = t.split()
+        rnd.shuffle(words)
+        planted.append((10**6 + k, " ".join(words), "en"))
+    common = [w for w, _ in Counter(w for t in good for w in t.split()).most_common(25)]
+    short = [w for w in common if w.isalpha() and w.islower() and len(w) > 1][:6]
+    planted += [(3 * 10**6 + k, " ".join(rnd.choice(short) for _ in range(400)), "en") for k in range(3)]
+    got = {r.doc_id: r for r in quality.judge(docs.select("doc_id", "text", "lang").unionAll(spark.createDataFrame(planted, "doc_id long, text string, lang string"))).collect()}
+    assert all(got[i].cross_entropy > got[i].upper and not got[i].kept for i, *_ in planted[:3])
+    assert all(got[i].cross_entropy < got[i].lower for i, *_ in planted[3:])
 
 
 def test_quality_odd_rows(odd, empty):
@@ -80,10 +104,13 @@ def test_quality_odd_rows(odd, empty):
     assert quality.judge(empty).count() == 0 and quality.passed(odd).columns == odd.columns
 
 
-def test_order_falls_when_the_table_is_too_large(spark):
+def test_verdicts_do_not_depend_on_the_number_of_pieces(spark, monkeypatch):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    model = quality.fit_model(docs, most_grams=2000)
-    assert model.order < quality.ORDER and len(model.levels[model.order][0]) <= 2000
+    key = lambda df: sorted((r.doc_id, r.kept, r.cross_entropy or 0.0) for r in df.collect())
+    want = key(quality.judge(docs))
+    fit = quality.fit_model
+    monkeypatch.setattr(quality, "fit_model", lambda *a: fit(*a, piece=20_000))
+    assert key(quality.judge(docs)) == want
 
 
 def test_base_scores_equal_brute_force(spark):
