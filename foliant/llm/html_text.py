@@ -4,10 +4,12 @@ A page is a stream of start tags, texts and end tags; missing end tags are suppl
 elements (or runs of elements) that repeat become a repeated group. Two streams are aligned level by level: what both
 have is matched and aligned in turn, what only one has becomes an optional group, and texts become slots. Aligning all
 streams of a host gives its wrapper. Streams that are equal after repeats are folded count once, and a host's streams
-are aligned in salted parts whose wrappers are aligned with each other, so no task holds all pages of a host.
+are aligned in parts of a bounded size, whose wrappers are aligned in parts again until one is left.
 
-Then all pages are held against their wrapper and each slot's texts are counted: how many, how many different, how much
-of them in links. Slots in menus, adverts and the like, by their tags and classes or by those counts, aren't the article.
+Then all pages are held against their wrapper, and each slot's texts are counted: how many, how many different, how much
+of them in links. The counts give a slot its role: what hardly varies among the pages of a host is its template, however
+it is tagged; what is mostly links is a menu. Of what is left a page's article is the part that its elements say, or
+where most of its text is. Words of classes break ties only: they decide where counts and elements have nothing to say.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,10 +26,14 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import Scratch, hot_keys, join_on, text_or_empty
 
-#: Parts of a host's streams that are aligned each on its own, siblings in a repeated run, and bytes of wrappers sent to all tasks, at most.
-PARTS, RUN, MOST_BYTES = 32, 6, 32_000_000
-#: A slot outside the main part is a template's if at least so many texts have at most this share of different ones; a menu's at that share of links.
+#: Streams that a task aligns, about; siblings in a repeated run, and bytes of wrappers sent to all tasks, at most.
+PART, RUN, MOST_BYTES = 256, 6, 32_000_000
+#: A slot is a template's if at least so many texts have at most this share of different ones, relative to the slot that varies most; outside an article, a menu's at that share of links.
 TEMPLATE_TEXTS, TEMPLATE_SHARE, LINK_SHARE = 5, 0.2, 0.6
+#: A container with this share of what its parent has is where the article is.
+REGION = 0.75
+#: Elements that are nested deeper are put beside each other there, as browsers do; levels with more pairs of siblings are aligned from left to right.
+DEPTH, MOST_PAIRS = 128, 250_000
 
 # Element names of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -40,6 +47,7 @@ CLOSES = {
     "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"}),
 }
 CLOSE_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
+CONTAINERS = {"html", "body", "div", "section", "main", "article", "center", "table", "tbody", "tr", "td"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Words of class, id and role that say what isn't the article.
 ASIDE_WORDS = re.compile(
@@ -74,16 +82,16 @@ def parse(page: str) -> Element:
 
     def add(text: str) -> None:
         if text:
-            open_[-1].children.append((html.unescape(text), links > 0))
+            open_[min(len(open_) - 1, DEPTH)].children.append((html.unescape(text), links > 0))
 
     def close(names: set[str], until: set[str]) -> None:
-        for i in range(len(open_) - 1, 0, -1):
+        i = len(open_) - 1
+        while i > 0:
             if open_[i].name in names:
                 del open_[i:]
-                return close(names, until)
-            if open_[i].name in until or (not until and open_[i].name not in INLINE and open_[i].name != "p"):
-                return None
-        return None
+            elif open_[i].name in until or (not until and open_[i].name not in INLINE and open_[i].name != "p"):
+                return
+            i -= 1
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -113,7 +121,7 @@ def parse(page: str) -> Element:
         if name in CLOSES and name != "p":
             close(*CLOSES[name])
         own = Element(name, label_of(name, m[3]))
-        open_[-1].children.append(own)
+        open_[min(len(open_) - 1, DEPTH)].children.append(own)
         links = 0
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|$)", re.I).search(page, at)
@@ -178,6 +186,8 @@ def align(a: list, b: list) -> list:
         return a
     a, b = runs_as(a, b), runs_as(b, a)
     x, y = [str(n) for n in labels(a)], [str(n) for n in labels(b)]
+    if len(x) * len(y) > MOST_PAIRS:
+        return fold(beside(a, b, x, y))
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
@@ -196,6 +206,24 @@ def align(a: list, b: list) -> list:
     return fold(out)
 
 
+def beside(a: list, b: list, x: list[str], y: list[str]) -> list:
+    """align() from left to right: each label of x is matched with its next place in y."""
+    places: dict[str, list[int]] = {}
+    for j, name in enumerate(y):
+        places.setdefault(name, []).append(j)
+    out, j = [], 0
+    for i, name in enumerate(x):
+        own = places.get(name, [])
+        k = bisect_left(own, j)
+        if k < len(own):
+            out += [[b[n][0], True, *b[n][2:]] for n in range(j, own[k])]
+            out.append(merged(a[i], b[own[k]]))
+            j = own[k] + 1
+        else:
+            out.append([a[i][0], True, *a[i][2:]])
+    return out + [[b[n][0], True, *b[n][2:]] for n in range(j, len(y))]
+
+
 def skeleton(element: Element) -> list:
     """The items of an element's children, repeats folded."""
     out: list = []
@@ -240,11 +268,11 @@ class Wrapper:
             else:
                 self._walk(item[3], (*above, name))
 
-    def texts(self, page: Element) -> Iterator[tuple[int, tuple[str, ...], str, bool]]:
-        """(slot or -1, labels above, text, in a link) for each text of a page, and (-2, ...) between blocks."""
+    def texts(self, page: Element) -> Iterator[tuple[int, tuple[Element, ...], str, bool]]:
+        """(slot or -1, elements above, text, in a link) for each text of a page, (-2, ...) between blocks, (-3, ...) for blanks."""
         yield from self._texts(page, self.items, ())
 
-    def _texts(self, element: Element, items: list | None, above: tuple[str, ...]) -> Iterator[tuple[int, tuple[str, ...], str, bool]]:
+    def _texts(self, element: Element, items: list | None, above: tuple[Element, ...]) -> Iterator[tuple[int, tuple[Element, ...], str, bool]]:
         level = self.levels[id(items)] if items is not None else []
         at = 0
         for c in element.children:
@@ -264,57 +292,91 @@ class Wrapper:
                 yield (self.number[id(item)] if item is not None else -1, above, *c)
             else:
                 yield (-2, above, "", False)
-                yield from self._texts(c, item[3] if item is not None else None, (*above, name))
+                yield from self._texts(c, item[3] if item is not None else None, (*above, c))
                 yield (-2, above, "", False)
 
 
-NEITHER, WRAPPED, ARTICLE = 1, 2, 3
+OUTSIDE, WORDED, NEITHER, WRAPPED, ARTICLE = range(5)
 
 
 def kind_of(above: tuple[str, ...]) -> int:
-    """0: menus, headers, footers and so on, by tags and classes. A header within the article is kept for its headings.
+    """What elements and classes say of a text by the labels above it. OUTSIDE: menus, footers, forms and so on by their
+    elements, and headers, but for the headings within an article; what classes call by such names inside an article too.
 
     What a class says of html, body and what is around an article may be meant for their other parts (has-sidebar). So
     html and body are not looked at, and an article in a wrapper of that kind is WRAPPED: it counts if there's no other.
+    Without an article, a text whose classes have such names is WORDED: it counts if there's nothing else.
     """
     first = next((i for i, n in enumerate(above) if MAIN.search(n)), len(above))
     kind = ARTICLE if first < len(above) else NEITHER
     for i, n in enumerate(above):
         name, _, words = n.partition(".")
         if name in BESIDE:
-            return 0
+            return OUTSIDE
         if words and name not in ("html", "body") and ASIDE_WORDS.search(words.replace(".", " ")):
-            if i >= first or kind == NEITHER:
-                return 0
-            kind = WRAPPED
+            if i >= first:
+                return OUTSIDE
+            kind = WORDED if kind in (NEITHER, WORDED) else WRAPPED
         if name == "header" and not (i >= first and any(x.partition(".")[0] in HEADINGS for x in above[i:])):
-            return 0
+            return OUTSIDE
     return kind
 
 
 def content_slots(wrapper: Wrapper, counts: dict[int, tuple[int, int, int, int]]) -> list[int]:
-    """Slots that may hold the main text of a page. counts: slot: texts, different ones, characters, characters in links."""
+    """Slots that may hold a page's article. counts: slot: texts, different ones, characters, characters in links.
+
+    Copies of pages make all slots vary less, so a slot is held against the one that varies most.
+    """
+    varying = max((different / n for n, different, *_ in counts.values() if n >= TEMPLATE_TEXTS), default=1.0)
     out = []
     for slot, kind in enumerate(wrapper.kinds):
         n, different, chars, linked = counts.get(slot, (0, 0, 0, 0))
-        if not kind:
-            continue
-        if kind == NEITHER and ((n >= TEMPLATE_TEXTS and different <= TEMPLATE_SHARE * n) or linked > LINK_SHARE * chars):
-            continue
-        out.append(slot)
+        template = n >= TEMPLATE_TEXTS and different <= TEMPLATE_SHARE * varying * n
+        menu = kind < WRAPPED and linked > LINK_SHARE * chars
+        if kind != OUTSIDE and not template and not menu:
+            out.append(slot)
     return out
 
 
+def region_of(texts: list[tuple[tuple[Element, ...], str]]) -> Element | None:
+    """The innermost container that has most of the texts, going down from the page; None: the page."""
+    here: Element | None = None
+    depth = 0
+    while True:
+        total = sum(len(t) for _, t in texts)
+        chars: dict[Element, int] = {}
+        direct: dict[Element, int] = {}
+        for above, t in texts:
+            if len(above) > depth:
+                chars[above[depth]] = chars.get(above[depth], 0) + len(t)
+                if len(above) == depth + 1:
+                    direct[above[depth]] = direct.get(above[depth], 0) + len(t)
+        best = max(chars, key=chars.__getitem__, default=None)
+        if best is None or best.name not in CONTAINERS or chars[best] < REGION * total or 2 * direct.get(best, 0) > chars[best]:
+            return here
+        here, texts = best, [(above, t) for above, t in texts if len(above) > depth and above[depth] is best]
+        depth += 1
+
+
 def main_text(page: Element, wrapper: Wrapper, content: set[int]) -> str:
-    """Blocks joined by an empty line. Each page has its own best kind of text, whatever other pages of its host have.
+    """Blocks joined by an empty line. Each page has its own best kind of text, whatever other pages of its host have;
+    without an article it is where most of the page's content is, with the headings before it.
 
-    A text that the wrapper has no slot for is judged by its tags alone.
+    A text that the wrapper has no slot for is judged by its elements and classes alone.
     """
-    found = [(slot if slot < -1 else kind_of(above) if slot == -1 else wrapper.kinds[slot] if slot in content else 0, text) for slot, above, text, _ in wrapper.texts(page)]
-    best = max((kind for kind, _ in found if kind > 0), default=NEITHER)
+    found = []
+    for slot, above, text, _ in wrapper.texts(page):
+        kind = slot
+        if slot >= -1:
+            kind = wrapper.kinds[slot] if slot >= 0 else kind_of(tuple(e.label for e in above))
+            kind = kind if slot < 0 or slot in content else OUTSIDE
+        found.append((kind, above, text))
+    best = max((kind for kind, *_ in found), default=NEITHER)
+    region = region_of([(above, text) for kind, above, text in found if kind == best]) if WORDED <= best < WRAPPED else None
+    started = region is None
     blocks: list[str] = []
     own: list[str] = []
-    for kind, text in found:
+    for kind, above, text in found:
         if kind == -2:
             if own:
                 blocks.append("".join(own))
@@ -323,7 +385,10 @@ def main_text(page: Element, wrapper: Wrapper, content: set[int]) -> str:
             if own:
                 own.append(" ")
         elif kind == best:
-            own.append(text)
+            inside = region is None or region in above
+            started = started or inside
+            if inside or (not started and any(e.name in HEADINGS for e in above)):
+                own.append(text)
     blocks.append("".join(own))
     return "\n\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
@@ -357,26 +422,39 @@ def _align(table: pa.Table) -> pa.Table:
     return pa.table({"host": pa.array([table.column("host")[0].as_py()], pa.string()), "items": pa.array([json.dumps(items)], pa.string())})
 
 
-def _wrapper(cache: dict, data: str) -> Wrapper:
-    if data not in cache:
-        if len(cache) > 2000:
-            cache.clear()
-        cache[data] = Wrapper(json.loads(data))
-    return cache[data]
+class Found:
+    """Wrappers by host for a task: from a broadcast, or from a column of the rows."""
+
+    def __init__(self, held):
+        self.held, self.known = held, {}
 
+    def of(self, batch: pa.RecordBatch, column: str) -> Iterator[tuple[Wrapper, set[int]]]:
+        rows = batch.column("host").to_pylist() if self.held is not None else zip(batch.column("items").to_pylist(), batch.column(column).to_pylist() if column else [None] * batch.num_rows, strict=True)
+        for key in rows:
+            data, content = self.held.value[key] if self.held is not None else key
+            at = key if self.held is not None else data
+            if at not in self.known:
+                if len(self.known) > 2000:
+                    self.known.clear()
+                self.known[at] = (Wrapper(json.loads(data)), set(content or ()))
+            yield self.known[at]
 
-def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _slot_counts(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     import xxhash
 
-    cache: dict = {}
-    for batch in batches:
-        cols: list[list] = [[], [], [], [], []]
-        for host, page, data in zip(batch.column("host").to_pylist(), batch.column("html"), batch.column("items").to_pylist(), strict=True):
-            for slot, _, text, linked in _wrapper(cache, data).texts(parse(page.as_py())):
-                if slot >= 0:
-                    for c, v in zip(cols, (host, slot, xxhash.xxh3_64_intdigest(text.strip()) >> 1, len(text), len(text) if linked else 0), strict=True):
-                        c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "slot", "text", "chars", "linked"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found(held)
+        for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
+            for host, page, (wrapper, _) in zip(batch.column("host").to_pylist(), batch.column("html"), found.of(batch, ""), strict=True):
+                for slot, _, text, linked in wrapper.texts(parse(page.as_py())):
+                    if slot >= 0:
+                        for c, v in zip(cols, (host, slot, xxhash.xxh3_64_intdigest(text.strip()) >> 1, len(text), len(text) if linked else 0), strict=True):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["host", "slot", "text", "chars", "linked"])
+
+    return run
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -387,44 +465,57 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("items"), pa.array(out, pa.list_(pa.int32()))], ["host", "items", "content"])
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache: dict = {}
-    for batch in batches:
-        texts = [main_text(parse(p.as_py()), _wrapper(cache, d), set(c)) for p, d, c in zip(batch.column("html"), batch.column("items").to_pylist(), batch.column("content").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+def _extract(held) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found(held)
+        for batch in batches:
+            texts = [main_text(parse(p.as_py()), wrapper, content) for p, (wrapper, content) in zip(batch.column("html"), found.of(batch, "content"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return run
 
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, items, content) of rows (page_id, url, host, html)."""
-    streams = pages.select("host", "html").mapInArrow(_skeletons, "host string, items string").distinct()
-    parts = streams.withColumn("part", F.pmod(F.xxhash64("items"), F.lit(PARTS))).groupBy("host", "part").applyInArrow(lambda t: _align(t), "host string, items string")
-    found = scratch.table(parts.groupBy("host").applyInArrow(lambda t: _align(t), "host string, items string"), "wrappers")
-    counts = with_wrapper(pages, found).mapInArrow(_slot_counts, "host string, slot int, text long, chars long, linked long")
-    counts = counts.groupBy("host", "slot").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("text").alias("different"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    found = scratch.table(pages.select("host", "html").mapInArrow(_skeletons, "host string, items string").distinct(), "streams-0")
+    for k in range(1, 64):
+        counts = found.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            break
+        if most <= PART:
+            parts = found.withColumn("part", F.lit(0))
+        else:  # hosts with many streams are spread over tasks; the counts are few and small
+            parts = found.join(counts, "host").withColumn("part", F.pmod(F.xxhash64("items", F.lit(k)), F.ceil(F.col("n") / PART).cast("long"))).drop("n")
+        found = scratch.table(parts.groupBy("host", "part").applyInArrow(lambda t: _align(t), "host string, items string").distinct(), f"streams-{k}")
+    texts = with_wrapper(pages, found, _slot_counts, "host string, slot int, text long, chars long, linked long")
+    texts = texts.groupBy("host", "slot", "text").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    counts = texts.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("different"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     counts = counts.groupBy("host").agg(F.collect_list(F.struct("slot", "n", "different", "chars", "linked")).alias("counts"))  # a wrapper's slots
     kinds = "host string, items string, content array<int>"
     return scratch.table(found.join(counts, "host", "left").select("host", "items", "counts").mapInArrow(_contents, kinds), "contents")
 
 
-def with_wrapper(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """Wrappers are sent to all tasks if their size, which is looked up first, allows it; else pages go to them by host."""
-    size = found.agg(F.sum(F.length("items"))).first()[0] or 0
+def with_wrapper(pages: DataFrame, found: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """run() over pages. Wrappers are sent to all tasks once if their size, which is looked up first, allows it; else pages go to them by host."""
+    size = found.agg(F.sum(F.octet_length("items"))).first()[0] or 0
     if size <= MOST_BYTES:
-        return pages.join(F.broadcast(found), "host")
-    return join_on(pages, found, ["host"], hot_keys(pages, ["host"]))
+        held = {r.host: (r.items, r.content if "content" in found.columns else None) for r in found.toLocalIterator()}
+        return pages.mapInArrow(run(pages.sparkSession.sparkContext.broadcast(held)), schema)
+    return join_on(pages, found, ["host"], hot_keys(pages, ["host"])).mapInArrow(run(None), schema)
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each row of pages: page_id, url, text, n_chars.
 
     A null page is empty and has an empty text. Pages without a host in their url are those of one host. Repeated rows
-    give the same text. Other columns of pages are not looked at.
+    give the same text. No-break spaces and the like count as white space. Other columns of pages are not looked at.
     """
     scratch = Scratch(pages.sparkSession, "html")
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), text_or_empty(html_col).alias("html"))
     found = wrappers(own, scratch)
     kinds = f"page_id {own.schema['page_id'].dataType.simpleString()}, url string, text string"
-    out = with_wrapper(own, found).select("page_id", "url", "html", "items", "content").mapInArrow(_extract, kinds)
+    out = with_wrapper(own, found, _extract, kinds)
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -153,3 +153,32 @@ def test_main_text_is_decided_for_each_page(spark):
         assert got == {k: f"Story {k}\n\ngoes on {k}" if k % 3 == 1 else f"Head {k}\n\nText {k}" for k in range(24)}
     comments = "<html><body><main><p>Text</p></main><div class=comments><article>Nice!</article></div></body></html>"
     assert [r.text for r in html_text.extract_text(spark.createDataFrame([(1, None, comments)], "page_id long, url string, html string")).collect()] == ["Text"]
+
+
+#: No element or class says what is what.
+BARE = """<html><body><div><div>Acme Daily</div><div><a href=/a>World</a> <a href=/b>Sport</a></div></div><div>Subscribe to our letter!</div>
+<div><div><div>Head {0}</div>{1}<div>More of it {0} and more words.</div></div></div><div><div><a href=/1>Other {0}</a></div><div><a href=/2>Next {0}</a></div></div><div>All rights reserved</div></body></html>"""
+
+
+def test_wrappers_decide_where_no_name_does(spark, monkeypatch):
+    para = lambda k, n: "".join(f"<div>Words {k} of paragraph {i} that say a thing or two.</div>" for i in range(n))
+    rows = [(k, f"http://bare.example/{k}", BARE.format(k, para(k, 2 + k % 3))) for k in range(12)]
+    rows += [(100 + k, "http://bare.example/0", rows[0][2]) for k in range(20)]  # copies
+    rows += [(200, "http://bare.example/deep", "<div>" * 10_000 + "deep" + "</div>" * 10_000), (201, "http://wide.example/", "".join(f"<x{k}>{k}</x{k}>" for k in range(3000)))]
+    rows += [(202, "http://wide.example/2", "".join(f"<x{k}>{k}</x{k}>" for k in range(0, 6000, 2)))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = lambda k: "\n\n".join([f"Head {k}", *(f"Words {k} of paragraph {i} that say a thing or two." for i in range(2 + k % 3)), f"More of it {k} and more words."])
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    assert all(got[k] == want(k) for k in range(12)) and all(got[100 + k] == want(0) for k in range(20))
+    assert got[200] == "deep" and got[201].split("\n\n") == [str(k) for k in range(3000)] and got[202].count("\n\n") == 2999
+    monkeypatch.setattr(html_text, "MOST_BYTES", 0)  # pages go to wrappers by host
+    monkeypatch.setattr(html_text, "PART", 2)
+    assert {r.page_id: r.text for r in html_text.extract_text(df.where("page_id < 200")).collect()} == {k: v for k, v in got.items() if k < 200}
+    alone = html_text.Wrapper([])  # without what was inferred, the template stays
+    assert "All rights reserved" in html_text.main_text(html_text.parse(rows[0][2]), alone, set())
+
+
+def test_constant_parts_of_an_article_go(spark):
+    page = "<html><body><article><h1>Head {0}</h1><p>Text {0} goes here.</p><div><p>Tell your friends</p></div><p>And on {0}.</p></article></body></html>"
+    df = spark.createDataFrame([(k, "http://c.example/", page.format(k)) for k in range(9)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract_text(df).collect()} == {k: f"Head {k}\n\nText {k} goes here.\n\nAnd on {k}." for k in range(9)}
