@@ -32,6 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not at:
         at = getattr(spark.sparkContext, "_foliant_shared", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors see")
         at = "file://" + tempfile.mkdtemp(prefix="foliant-")
         spark.sparkContext._foliant_shared = at
         atexit.register(_delete, spark, at)
@@ -53,10 +55,10 @@ class Scratch:
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.path)
 
-    def table(self, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+    def table(self, df: DataFrame, name: str, partition_by: Sequence[str] = (), options: dict[str, str] | None = None) -> DataFrame:
         """Write df and return what was written."""
         at = f"{self.path}/{name}"
-        writer = df.write.option("compression", "zstd")
+        writer = df.write.option("compression", "zstd").options(**(options or {}))
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(at)
         return self.spark.read.schema(df.schema).parquet(at)
 

@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from helpers import SF
 
-from foliant.llm import lm_score, quality
+from foliant.llm import lm_score, lm_segments, quality
 from foliant.llm.queries import QUERIES
 
 
@@ -128,20 +128,24 @@ def test_base_scores_equal_brute_force(spark):
 
 def test_bits_of_a_token_sum_to_one():
     """The probabilities of all bytes in a place sum to 1: the end of the text and all words of one byte, over 256."""
-    tables, mixer = lm_score.Tables([b"the", b"a"], [(0, b"the")]), lm_score.Mixer()
+    tables, mixer = lm_score.Tables(100), lm_score.Mixer()
     rng = np.random.default_rng(1)
     tables.slots[:, 0] = rng.normal(0, 2, len(tables.slots))
     tables.slots[:, 1] = rng.integers(0, 300, len(tables.slots))
-    spelled = lm_score.Spelling([bytes([b]) + b"x" for b in range(256) if b != 10] + [b"\n"], np.zeros(256, np.int64))
-    only = spelled.place == 0
-    spelled.data, spelled.place, spelled.contexts = spelled.data[only], spelled.place[only], [c[only] for c in spelled.contexts]
-    spelled.which, spelled.starts = np.arange(256), np.arange(256)
-    first = 10 ** mixer.score(spelled, tables)
-    assert len(first) == 256 and abs(first.sum() - 1) < 1e-6
+    for stem in (b"", b"the"):  # without and with exact counts
+        words = sorted([stem + bytes([b]) + b"x" for b in range(256) if b != 32] + [stem])
+        prefixes = lm_score.Prefixes(words, np.zeros(256, np.int64), rng.integers(0, 30, 256))
+        exact = prefixes.of(0, 256)
+        spelled = lm_score.Spelling(words, np.zeros(256, np.int64), exact)
+        only = spelled.place == len(stem)
+        spelled.data, spelled.place, spelled.contexts, spelled.exact = spelled.data[only], spelled.place[only], [c[only] for c in spelled.contexts], tuple(e[only] for e in spelled.exact)
+        spelled.which, spelled.starts = np.arange(256), np.arange(256)
+        first = 10 ** mixer.score(spelled, tables)
+        assert len(first) == 256 and abs(first.sum() - 1) < 1e-5
 
 
 def test_shared_beginnings_change_no_score():
-    tables, mixer = lm_score.Tables([b"the", b"a"], [(0, b"the")]), lm_score.Mixer()
+    tables, mixer = lm_score.Tables(100), lm_score.Mixer()
     rng = np.random.default_rng(2)
     tables.slots[:, 0], tables.slots[:, 1] = rng.normal(0, 2, len(tables.slots)), rng.integers(0, 300, len(tables.slots))
     tokens, classes = [b"the", b"then", b"the", b"\n", b"t", b"\xc3\xbc", b"then"], np.array([0, 0, 3, 0, 0, 2, 3])
@@ -150,12 +154,95 @@ def test_shared_beginnings_change_no_score():
     assert np.allclose(together, alone)
 
 
+def test_prefixes_equal_brute_force(monkeypatch):
+    rnd = random.Random(4)
+    pairs = sorted({("".join(rnd.choice("abü") for _ in range(rnd.randint(1, 12))).encode(), rnd.randint(0, 2)) for _ in range(300)} | {(b"a" * 60, 0), (b"a" * 61, 1), (lm_score.END, 0)})
+    tokens, classes = [t for t, _ in pairs], np.array([c for _, c in pairs])
+    weights = np.array([rnd.randint(0, 9) for _ in pairs])
+    prefixes = lm_score.Prefixes(tokens, classes, weights)
+    spelled = ["".join(f"{x:08b}" for x in (t if t == lm_score.END else t + b" ")) for t in tokens]
+    for a, b in ((0, len(pairs)), (40, 90), (7, 8)):
+        got = lm_score.padded(prefixes.of(a, b), prefixes.sizes[a:b], tokens[a:b])
+        at = 0
+        for i in range(a, b):
+            for place in range(len(spelled[i]) // 8):
+                for k in range(9) if lm_score.FIRST <= place < lm_score.DEPTH else ():
+                    same = [j for j in range(len(pairs)) if spelled[j][: 8 * place + k] == spelled[i][: 8 * place + k]]
+                    assert got[0][at][k] == weights[same].sum() and got[1][at][k] == weights[[j for j in same if classes[j] == classes[i]]].sum()
+                at += 1
+        assert at == len(got[0])
+
+
+def test_blocks_hold_all_that_begin_alike(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(lm_score, "BATCH", 10)
+    words = sorted(f"{p}{k:03d}" for p, n in (("abcd", 35), ("abce", 3), ("b", 1), ("bcde", 22), ("bcdf", 9), ("zzzz", 12)) for k in range(n))
+    for size in (1, 4, 7, 50, 100):
+        batches = [pa.RecordBatch.from_arrays([pa.array(words[i : i + size]), pa.array([0] * len(words[i : i + size]))], ["word", "cls"]) for i in range(0, len(words), size)]
+        blocks = [tokens for tokens, *_ in lm_score._blocks(iter(batches))]
+        assert [t.decode() for b in blocks for t in b] == words and len(blocks) > 2
+        groups = [{t[: lm_score.FIRST] for t in b} for b in blocks]
+        assert all(not (x & y) for i, x in enumerate(groups) for y in groups[:i])
+
+
+def test_segments_are_the_same_wherever_a_passage_stands():
+    rnd = random.Random(6)
+    words = lambda n: " ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rnd.randint(0, 99)) for _ in range(n))
+    passage = words(300)
+    texts = [f"{words(40)}\n{passage} {words(30)}", f"{words(5)} {passage}", "", "a", "| " * 500]
+    own = lm_segments.Segments([t.lower().encode() for t in texts])
+    assert own.counts.tolist() == [len(t.split()) + 1 for t in texts] and own.sizes.sum() == own.counts.sum() and own.sizes.max() <= lm_segments.LONGEST
+    keys = [set(zip(own.context[own.text == i].tolist(), own.hash[own.text == i].tolist(), strict=True)) for i in range(5)]
+    assert len(keys[0] & keys[1]) >= 0.7 * 300 / 8 * 0.8
+    alone = lm_segments.Segments([texts[1].lower().encode()])
+    assert (alone.hash == own.hash[own.text == 1]).all() and (alone.context == own.context[own.text == 1]).all()
+
+
+def test_repeated_segments_equal_brute_force(spark, tmp_path):
+    from foliant.llm.common import Scratch
+
+    docs = [(k, k % 4 != 0, r.text or "") for k, r in enumerate(spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect())]
+    docs += [(10_000 + k, k % 2 == 0, docs[k][2]) for k in range(0, 60, 3)]
+    own = lm_segments.Segments([t.encode().lower() for *_, t in docs])
+    seen: dict[int, Counter] = {}
+    for t, k, c, h in zip(own.text.tolist(), own.number.tolist(), own.context.tolist(), own.hash.tolist(), strict=True):
+        if k and docs[t][1]:
+            seen.setdefault(c, Counter())[h] += 1
+    want = {}
+    for t, k, c, h in zip(own.text.tolist(), own.number.tolist(), own.context.tolist(), own.hash.tolist(), strict=True):
+        train = docs[t][1]
+        if k and c in seen and sum(seen[c].values()) > train:
+            want.setdefault(docs[t][0], set())
+            if seen[c][h] > train:
+                want[docs[t][0]].add(k)
+    df = spark.createDataFrame(docs, "doc_key long, train boolean, text string")
+    got = {r.doc_key: r for r in lm_segments.repeated_segments(df, Scratch(spark, "test")).collect()}
+    assert {k: set(r.repeated) for k, r in got.items()} == want and all(r.repeated_score < 0 for r in got.values())
+
+
 def test_scores_beat_the_base_on_held_out_text(spark):
-    """On enough text; the base gives every unknown token the same share, which is more than its due on a small corpus."""
     rows = QUERIES["op1_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
-    assert rows.s > 1.05 * rows.b
+    assert rows.s > 0.9 * rows.b  # both are below 0
+
+
+def test_shuffled_words_score_less(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 500").select("doc_id", "text").orderBy("doc_id").limit(30).collect()
+    held = [i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rnd = random.Random(8)
+    rows = [(r.doc_id, r.text) for r in docs if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+    probes = []
+    for i, (_, text) in zip(held, rows[:12], strict=False):
+        words = text.split()
+        rnd.shuffle(words)
+        probes += [(i, text), (i + 10**6, " ".join(words))]
+    probes = [(i, t) for i, t in probes if i < 10**6] + [(next(j for j in range(i, i + 10**5) if zlib.crc32(str(j).encode()) % 7 == 2 and j % 1000 == i % 1000), t) for i, t in probes if i >= 10**6]
+    got = {r.doc_id: r.score for r in lm_score.score_texts(spark.createDataFrame(rows + probes, "doc_id long, text string")).collect()}
+    n = len(probes) // 2
+    assert all(got[a] > 0.7 * got[b] for (a, _), (b, _) in zip(probes[:n], probes[n:], strict=True))
 
 
 def test_score_odd_rows(odd, empty):
     got = lm_score.score_texts(odd).collect()
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1} and lm_score.score_texts(empty).count() == 0
+    assert len({r.score for r in got if r.doc_id == 5}) == 1
