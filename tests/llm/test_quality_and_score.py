@@ -176,7 +176,7 @@ def test_prefixes_equal_brute_force(monkeypatch):
 def test_blocks_hold_all_that_begin_alike(monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(lm_score, "BATCH", 10)
+    monkeypatch.setattr(lm_score, "BLOCK", 10)
     words = sorted(f"{p}{k:03d}" for p, n in (("abcd", 35), ("abce", 3), ("b", 1), ("bcde", 22), ("bcdf", 9), ("zzzz", 12)) for k in range(n))
     for size in (1, 4, 7, 50, 100):
         batches = [pa.RecordBatch.from_arrays([pa.array(words[i : i + size]), pa.array([0] * len(words[i : i + size]))], ["word", "cls"]) for i in range(0, len(words), size)]
@@ -194,7 +194,7 @@ def test_segments_are_the_same_wherever_a_passage_stands():
     own = lm_segments.Segments([t.lower().encode() for t in texts])
     assert own.counts.tolist() == [len(t.split()) + 1 for t in texts] and own.sizes.sum() == own.counts.sum() and own.sizes.max() <= lm_segments.LONGEST
     keys = [set(zip(own.context[own.text == i].tolist(), own.hash[own.text == i].tolist(), strict=True)) for i in range(5)]
-    assert len(keys[0] & keys[1]) >= 0.7 * 300 / 8 * 0.8
+    assert len(keys[0] & keys[1]) >= 0.7 * 300 / 16 * 0.8
     alone = lm_segments.Segments([texts[1].lower().encode()])
     assert (alone.hash == own.hash[own.text == 1]).all() and (alone.context == own.context[own.text == 1]).all()
 
@@ -223,7 +223,7 @@ def test_repeated_segments_equal_brute_force(spark, tmp_path):
 
 def test_scores_beat_the_base_on_held_out_text(spark):
     rows = QUERIES["op1_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
-    assert rows.s > 0.9 * rows.b  # both are below 0
+    assert rows.s > 0.92 * rows.b  # both are below 0
 
 
 def test_shuffled_words_score_less(spark):
