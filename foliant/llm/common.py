@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -68,6 +69,11 @@ class Scratch:
         if not name and self in Scratch.made:
             Scratch.made.remove(self)
 
+    def free_shuffles(self) -> None:
+        """Spark deletes the shuffle files of what is no longer referred to when the driver collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     @classmethod
     def made_since(cls, n: int) -> list[Scratch]:
         return cls.made[n:]
