@@ -82,16 +82,14 @@ def test_shards_keep_all_rows(spark, odd, empty, tmp_path):
     assert shards.sharded(empty)[1].count() == 0
 
 
-def test_a_run_is_a_file_and_tiers_have_fewer_than_the_fan_in(spark, tmp_path):
+def test_a_run_is_a_file_of_about_the_target(spark, tmp_path):
     table = shards.ShardTable(spark, f"file://{tmp_path}/t", fan_in=4, target=20_000)
     for k in range(24):
         table.append(spark.range(k * 1000, k * 1000 + 1000).select("id", F.xxhash64("id").alias("h")).coalesce(1))
     table.compact()
     got = table.manifest()
-    tiers = {}
-    for s in got:
-        tiers.setdefault(table.tier(s.bytes), []).append(s)
-    assert len(got) > 1 and max(s.bytes for s in got) <= shards.MOST_TARGETS * table.target and all(len(v) < 4 for t, v in tiers.items() if t <= 0)
+    assert len(got) > 1 and max(s.bytes for s in got) <= shards.MOST_TARGETS * table.target and not table.plan(got)
+    assert sum(s.bytes < table.target * shards.MOST_TARGETS / table.fan_in for s in got) < table.fan_in
     assert table.read().count() == 24_000 and table.read().select("id").distinct().count() == 24_000
     assert sum(s.bytes > table.target / 2 for s in got) > 1
     table.compact(last=True)
