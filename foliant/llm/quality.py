@@ -98,14 +98,27 @@ class Piece:
         h = h.view(np.uint64)
         by = np.lexsort((h, slot))
         slot, h, value = slot[by], h[by], value[by]
-        self.tables = {int(k): (h[a:b], value[a:b]) for k in np.unique(slot) for a, b in [np.searchsorted(slot, [k, k + 1])]}
+        self.tables = {int(k): self._table(h[a:b], value[a:b]) for k in np.unique(slot) for a, b in [np.searchsorted(slot, [k, k + 1])]}
+
+    @staticmethod
+    def _table(own: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+        """With where the hashes of each equal part of their range begin: as many parts as hashes, which are spread evenly."""
+        width = int(own[-1]) - int(own[0])
+        shift = np.uint64(max(0, width.bit_length() - len(own).bit_length()))
+        parts = np.arange((width >> int(shift)) + 1, dtype=np.uint64)
+        return own, values, np.searchsorted(own, own[0] + (parts << shift)).astype(np.int32), shift
 
     def find(self, slot: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is there, and the values of those that are."""
-        own, values = self.tables.get(slot, (np.zeros(0, np.uint64), np.zeros(0)))
-        if not len(own):
+        if slot not in self.tables:
             return np.zeros(len(keys), bool), np.zeros(0)
-        place = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+        own, values, first, shift = self.tables[slot]
+        place = first[np.minimum((keys - own[0]) >> shift, np.uint64(len(first) - 1)).astype(np.int64)]
+        behind = np.flatnonzero(own[place] < keys)
+        while len(behind):
+            behind = behind[place[behind] < len(own) - 1]
+            place[behind] += 1
+            behind = behind[own[place[behind]] < keys[behind]]
         found = own[place] == keys
         return found, values[place[found]]
 
