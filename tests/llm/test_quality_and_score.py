@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 from helpers import SF
 
-from foliant.llm import lm_score, lm_segments, quality
+from foliant.llm import lm_contexts, lm_score, lm_segments, quality
 from foliant.llm.queries import QUERIES
 
 
@@ -242,6 +242,96 @@ def test_shuffled_words_score_less(spark):
     assert all(got[a] > 0.7 * got[b] for (a, _), (b, _) in zip(probes[:n], probes[n:], strict=True))
 
 
+def test_bits_have_exact_counts_in_the_contexts_of_earlier_tokens(monkeypatch):
+    """Each bit's counts after no, one and two tokens, held against brute force; the same whatever the number of buckets and blocks."""
+    rnd = random.Random(10)
+    words = [f"w{k}".encode() for k in range(40)]
+    texts = [b" ".join(rnd.choice([b"the", b"of", rnd.choice(words), rnd.choice(words)]) for _ in range(rnd.randint(0, 60))) for _ in range(60)]
+    tokens = [[*t.split(), b"\n"] for t in texts]
+    held = np.array([k % 7 == 2 for k in range(60)])
+    train, every = (Counter(w for k, ws in enumerate(tokens) if all_ or not held[k] for w in ws) for all_ in (False, True))
+    coded = sorted(w for w, n in train.items() if n > 10)
+
+    def checksum(self, events, score, weight):
+        self.batches += 1
+        for rows, depth, counts in events:
+            if score is not None:
+                score[rows] += sum((3 * n + 7 * same) * 5**i for i, (n, same) in enumerate(counts)) * (depth + 1)
+
+    monkeypatch.setattr(lm_contexts.BitMixer, "run", checksum)
+    monkeypatch.setattr(lm_contexts, "followers", lambda context, keys, held: (np.zeros(len(keys), bool), np.zeros(len(keys))))
+    monkeypatch.setattr(lm_contexts, "BATCH", 50)
+    want = None
+    for size, blocks in ((1 << 21, 1), (100, 3), (37, 7)):
+        monkeypatch.setattr(lm_contexts, "BUCKET", size)
+        d = lm_contexts.Dictionary(coded, [train[w] for w in coded], [every[w] for w in coded], sum(train.values()), sum(every.values()), 1.0)
+        assert (len(d.hot) > 1) == (size < 1000) and d.buckets == -(-sum(every.values()) // size)
+        if want is None:
+            found = d.look_up(lm_contexts.hashes_of(coded))
+            code = dict(zip(coded, (f"{int(d.codes[i]):064b}"[: d.sizes[i]] for i in d.leaves[found].tolist()), strict=True))
+            escape = f"{int(d.codes[d.escape]):064b}"[: d.sizes[d.escape]]
+            seen: Counter = Counter()
+            each = []
+            for k, ws in enumerate(tokens):
+                before = [b"", b"", *ws]
+                for i, w in enumerate(ws):
+                    bits = code.get(w, escape)
+                    contexts = [(), (before[i + 1],), (before[i + 1], before[i])]
+                    each.append((k, bits, contexts))
+                    if not held[k]:
+                        seen.update((c, bits[:j]) for c in contexts for j in range(len(bits) + 1))
+            root = {(): {escape[:j] for j in range(len(escape) + 1)}}  # the escape has one occurrence more
+            want = np.zeros(60)
+            for k, bits, contexts in each:
+                for j in range(len(bits)):
+                    n = [[seen[c, bits[:x]] + (bits[:x] in root.get(c, ())) - (not held[k]) for x in (j, j + 1)] for c in contexts]
+                    want[k] += sum((3 * a + 7 * b) * 5**i for i, (a, b) in enumerate(n)) * (j + 1)
+        rows = []
+        for b in range(blocks):
+            own = list(range(b, 60, blocks))
+            rows += lm_contexts.dealt(d, [texts[k] for k in own], own, held[own], b, lm_score.classes_of).to_pylist()
+        got = np.zeros(60)
+        for bucket in range(d.buckets):
+            for out in lm_contexts.context_sums(d, [r for r in rows if r["bucket"] == bucket]):
+                if out[2] == lm_contexts.CODED_SUMS:
+                    docs = np.arange(out[1], 60, blocks)[lm_contexts._unpacked(out[3], np.uint32)]
+                    got[docs] += lm_contexts._unpacked(out[4], np.float32)
+        assert np.allclose(got, want, rtol=1e-5)
+
+
+def test_followers_equal_brute_force():
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 30), rnd.randint(0, 5), rnd.random() < 0.2) for _ in range(300)]
+    told, score = lm_contexts.followers(np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.uint64), np.array([r[2] for r in rows]))
+    seen = Counter((c, k) for c, k, h in rows if not h)
+    assert told.tolist() == [seen[c, k] > (not h) for c, k, h in rows]
+    known = [sum(seen[c, x] for x in range(6)) > (not h) for c, _, h in rows]
+    assert [s < 0 for s in score.tolist()] == known and len({(r, s) for r, s in zip(rows, score.tolist(), strict=True)}) == len(set(rows))
+
+
+def test_tokens_are_predicted_from_the_ones_before_without_a_common_passage(spark):
+    """Texts of a chain in which each word has three followers: its pairs are known, but no passage of 16 tokens occurs twice."""
+    rnd = random.Random(12)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("ane", "ilo", "ust", "ery", "od")]
+    after = {w: rnd.sample(words, 3) for w in words}
+
+    def chain(n):
+        out = [rnd.choice(words)]
+        for _ in range(n):
+            out.append(rnd.choice(after[out[-1]]))
+        return out
+
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(10_000) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows, pairs = [(i, " ".join(chain(150))) for i in train], []
+    for a, b in zip(held[:40:2], held[1:40:2], strict=True):
+        text = chain(150)
+        pairs.append((a, b))
+        rows += [(a, " ".join(text)), (b, " ".join(rnd.sample(text, len(text))))]
+    got = {r.doc_id: r.score for r in lm_score.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[a] > 0.5 * got[b] for a, b in pairs)
+
+
 def test_score_odd_rows(odd, empty):
     got = lm_score.score_texts(odd).collect()
     assert len(got) == odd.count() and {r.n_tokens for r in got if r.doc_id in (2, 3, 4)} == {1} and lm_score.score_texts(empty).count() == 0
