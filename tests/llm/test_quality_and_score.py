@@ -186,6 +186,26 @@ def test_blocks_hold_all_that_begin_alike(monkeypatch):
         assert all(not (x & y) for i, x in enumerate(groups) for y in groups[:i])
 
 
+def test_counted_tokens_equal_brute_force(monkeypatch):
+    """A task gives each (token, class) once, for training and held-out documents together."""
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    texts = ["", " \n\t", "A\x0bb\x0c", *("".join(rnd.choice("aB\u00fc\u4e2d  \n\r") for _ in range(rnd.randint(0, 40))) for _ in range(80))]
+    held = [k % 5 == 1 for k in range(len(texts))]
+    want: dict = {}
+    for t, h in zip(texts, held, strict=True):
+        own = lm_score.lower(t)
+        for w, c in zip([*own.split(), lm_score.END], lm_score.classes_of(own).tolist(), strict=True):
+            n = want.setdefault((w.decode(), c), [0, 0])
+            n[0] += not h
+            n[1] += 1
+    for size in (4_000_000, 50):  # bytes that are counted together
+        monkeypatch.setattr(lm_score, "COUNTED", size, raising=False)
+        rows = [r for b in lm_score._count(iter([pa.RecordBatch.from_arrays([pa.array(held), pa.array(texts)], ["held_out", "text"])])) for r in b.to_pylist()]
+        assert len(rows) == len(want) and {(r["word"], r["cls"]): [r["train"], r["every"]] for r in rows} == want
+
+
 def test_segments_are_the_same_wherever_a_passage_stands():
     rnd = random.Random(6)
     words = lambda n: " ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa".split()) + str(rnd.randint(0, 99)) for _ in range(n))
