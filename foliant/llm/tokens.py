@@ -9,17 +9,24 @@ from __future__ import annotations
 
 import os
 import re
+import string
+import sys
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse, islice
 
 import numpy as np
 
 #: Words remembered by a worker, at most (about 150 bytes each).
 REMEMBERED = 1_000_000
-#: After letters, each of these is a piece of its own in both vocabularies.
-CLOSING = ".,;:!?"
+#: After letters, a run of these is a piece of its own in both vocabularies, unless it begins with an apostrophe.
+CLOSING = string.punctuation
 #: Characters of the texts that are handled together.
 CHUNK = 1_000_000
 
+#: What is white space to str.isspace, and which of it _words doesn't split at.
+SPACES = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+OTHER_SPACES = [c for c in SPACES if c not in " \n"]
+
 _open: dict[tuple[str, str], WordIds] = {}
 
 
@@ -33,6 +40,9 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.spaced = kind == "spaced"
         self.known: dict = {}
+        self.again: set = set()  # known words that have been met again since words were last forgotten
+        self.ends = frozenset(CLOSING if self.spaced else CLOSING.encode())
+        self.blank = frozenset(["", *SPACES])
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         if self.spaced:
             vocab = self.library.get_vocab()
@@ -56,38 +66,46 @@ class WordIds:
             return None if b"<|" in data and any(s.encode() in data for s in self.special) else data.split()
         if any(s in text for s in self.special):
             return None
-        if self.doubled.search(text):
+        if "  " in text or "\n " in text or " \n" in text or "\n\n" in text:
+            return None
+        if any(c in text for c in OTHER_SPACES) and self.doubled.search(text):
             return None
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            words[0] = ("\n" if i else "\n\n") + words[0]
-            out += words
-        return out
+        words = text.replace("\n", " \n").split(" ")
+        words[0] = "\n\n" + words[0]
+        return words
 
     def _learn_together(self, keys: list, ends: np.ndarray, ids: np.ndarray) -> None:
-        parts = np.split(ids, ends)
-        self.known.update(zip(keys, (p.tobytes() for p in parts), strict=True))
+        data = ids.tobytes()
+        cuts = [0, *(4 * ends).tolist(), len(data)]
+        if len(cuts) != len(keys) + 1:
+            raise ValueError(f"{len(keys)} words became {len(cuts) - 1} in the library")
+        self.known.update(zip(keys, map(data.__getitem__, map(slice, cuts, cuts[1:])), strict=False))
 
     def learn(self, keys: Iterable) -> None:
-        """Ask the library for the words that aren't known yet. Letters and one closing mark are put together from both."""
-        new = [k for k in keys if k not in self.known]
-        both, alone = [], set()
-        for k in new:
-            word = k.lstrip("\n") if self.spaced else k.decode("utf-8", "surrogatepass")
-            if len(word) > 1 and word[-1] in CLOSING and word[:-1].isalpha() and word[:-1].lower().isalpha():
-                both.append(k)
-                if k[:-1] not in self.known:
-                    alone.add(k[:-1])
-            else:
-                alone.add(k)
-        (self._learn_spaced if self.spaced else self._learn_loose)(list(alone))
-        for k in both:
-            mark = k[-1:]
-            name = ("\n\n" if self.spaced else b"\0mark ") + mark
+        """Ask the library for the words that aren't known yet. Letters and closing marks are put together from both."""
+        keys = keys if isinstance(keys, set) else set(keys)
+        alone = set(filterfalse(self.known.__contains__, keys))
+        self.again |= keys - alone
+        closed = [k for k in alone if k and k[-1] in self.ends]
+        both = []
+        for k in closed:
+            stem = k.rstrip(CLOSING if self.spaced else CLOSING.encode())
+            letters = stem.lstrip("\n") if self.spaced else stem.decode("utf-8", "surrogatepass")
+            if letters.isalpha() and letters.lower().isalpha() and k[len(stem)] not in ("'", 39):
+                both.append((k, stem, k[len(stem) :]))
+        alone.difference_update(k for k, _, _ in both)
+        alone.update(stem for _, stem, _ in both if stem not in self.known)
+        (self._learn_spaced if self.spaced else self._learn_loose)(alone)
+        for k, stem, marks in both:
+            name = ("\n\n" if self.spaced else b"\0marks ") + marks
             if name not in self.known:
-                self.known[name] = self.whole(mark if self.spaced else mark.decode()).tobytes()
-            self.known[k] = self.known[k[:-1]] + self.known[name]
+                self.known[name] = self.whole(marks if self.spaced else marks.decode()).tobytes()
+            self.known[k] = self.known[stem] + self.known[name]
+
+    def forget(self) -> None:
+        """Of the words that have been met again, half of what is remembered at most stays; to stay longer, they must be met again."""
+        self.known = {k: self.known[k] for k in islice(self.again, REMEMBERED // 2)}
+        self.again = set()
 
     def _learn_loose(self, new: list[bytes]) -> None:
         letters, plain = [], []
@@ -113,17 +131,18 @@ class WordIds:
             keep[marks] = False
             self._learn_together([k for k, _ in plain], marks - np.arange(len(marks)), ids[keep])
 
-    def _learn_spaced(self, new: list[str]) -> None:
-        firsts, rests = [], []
-        for k in new:
+    def _learn_spaced(self, new: set[str]) -> None:
+        rests = [k for k in new if k[:1] not in self.blank and k[-1] not in self.blank]
+        firsts = []
+        for k in new.difference(rests):
             word = k.lstrip("\n")
             if not word or word[0].isspace() or word[-1].isspace():
                 text = word if k.startswith("\n\n") else k if k.startswith("\n") else " " + k
                 self.known[k] = self.whole(text).tobytes() if text else b""
             else:
-                (firsts if k[0] == "\n" else rests).append(k)
+                firsts.append(k)
         if rests:
-            ids = self.whole("".join(f" {w}" for w in rests))
+            ids = self.whole(" " + " ".join(rests))
             self._learn_together(rests, np.flatnonzero(self.begins[ids])[1:], ids)
         if firsts:
             ids = self.whole("\n".join(k.lstrip("\n") for k in firsts))
@@ -150,7 +169,7 @@ class WordIds:
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.forget()
         split = [self._words(t) for t in texts]
         self.learn(set().union(*(s for s in split if s is not None)))
         get = self.known.__getitem__

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from helpers import SF
 
-from foliant.llm import packing, pieces, token_files
+from foliant.llm import packing, pieces, token_files, tokens
 from foliant.llm.tokens import word_ids
 
 
@@ -22,6 +22,24 @@ def test_word_ids_equal_the_library(spark, name, kind):
         assert np.frombuffer(got, "<u4").tolist() == ids.library.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "loose")])
+def test_common_words_are_asked_for_once(monkeypatch, name, kind):
+    """Words that have been met again outlast the others, and marks behind a known word need no new look at the word."""
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    ids, rnd, asked = tokens.WordIds(public_tokenizers.path(name), kind), random.Random(2), []
+    whole = ids.whole
+    monkeypatch.setattr(ids, "whole", lambda text: asked.append(text) or whole(text))
+    common = ["über", "rain", "été"]
+    for i in range(30):
+        rare = ["".join(rnd.choice("abcdeé") for _ in range(9)) for _ in range(8)]
+        marks = ["!", "&&&", ".***", "'s", "'", "_"][i % 6]
+        text = " ".join(["x", *common, *rare, *(w + marks for w in common), "\nx"]).replace(" \n", "\n")
+        (got,) = ids.encode([text])
+        assert np.frombuffer(got, "<u4").tolist() == ids.library.encode(text, add_special_tokens=False).ids
+    assert len(ids.known) < 100
+    assert sum(t.split().count("rain") for t in asked) == 1
+
+
 pieces_re = re.compile(" *[^ ]+| +")
 
 
