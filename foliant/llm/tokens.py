@@ -107,29 +107,30 @@ class WordIds:
         self.known = {k: self.known[k] for k in islice(self.again, REMEMBERED // 2)}
         self.again = set()
 
-    def _learn_loose(self, new: list[bytes]) -> None:
-        letters, plain = [], []
-        for k in new:
+    def _learn_loose(self, new: set[bytes]) -> None:
+        letters = [k for k in new if k.isalpha()]  # of ASCII
+        plain = []
+        for k in new.difference(letters):
             word = k.decode("utf-8", "surrogatepass")
             if word.isalpha():
-                letters.append((k, word))
+                letters.append(k)
             elif b"\x01" in k or b"<|" in k:
                 self.known[k] = self.whole(word).tobytes()
             else:
-                plain.append((k, word))
+                plain.append(k)
         if letters:
-            ids = self.whole(" ".join(w for _, w in letters))
+            ids = self.whole(b" ".join(letters).decode("utf-8", "surrogatepass"))
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(letters):
-                self._learn_together([k for k, _ in letters], ends[:-1], ids)
+                self._learn_together(letters, ends[:-1], ids)
             else:  # letters that become something else when normalised
                 plain += letters
         if plain:
-            ids = self.whole(" \x01 ".join(w for _, w in plain))
+            ids = self.whole(b" \x01 ".join(plain).decode("utf-8", "surrogatepass"))
             marks = np.flatnonzero(ids == self.mark)
             keep = np.ones(len(ids), bool)
             keep[marks] = False
-            self._learn_together([k for k, _ in plain], marks - np.arange(len(marks)), ids[keep])
+            self._learn_together(plain, marks - np.arange(len(marks)), ids[keep])
 
     def _learn_spaced(self, new: set[str]) -> None:
         rests = [k for k in new if k[:1] not in self.blank and k[-1] not in self.blank]
