@@ -186,6 +186,20 @@ def test_blocks_hold_all_that_begin_alike(monkeypatch):
         assert all(not (x & y) for i, x in enumerate(groups) for y in groups[:i])
 
 
+def test_classes_of_texts_together_equal_brute_force():
+    rnd = random.Random(8)
+    texts = ["", " ", "é", "a é", "é a", "abc", "日本 x\n\nüa b "] + ["".join(rnd.choice("ab é日\n\tü😀") for _ in range(rnd.randint(0, 20))) for _ in range(300)]
+    want = []
+    for t in texts:
+        last = 0
+        for w in [*re.findall(r"[^\x20\x09-\x0D]+", t), ""]:
+            want.append(last)
+            for c in w:
+                if not c.isascii():
+                    last = 1 + sum(c.encode()) % (lm_score.CLASSES - 1)
+    assert lm_score.classes_of(*(lm_score.lower(t) for t in texts)).tolist() == want
+
+
 def test_counted_tokens_equal_brute_force(monkeypatch):
     """A task gives each (token, class) once, for training and held-out documents together."""
     import pyarrow as pa
