@@ -333,6 +333,39 @@ def test_bits_have_exact_counts_in_the_contexts_of_earlier_tokens(monkeypatch):
         assert np.allclose(got, want, rtol=1e-5)
 
 
+def test_rows_alone_in_their_context_are_not_looked_at_again(monkeypatch):
+    """One of a context that nothing else has keeps its count, so deeper bits have no work with it; nor do spelled tokens with a beginning of their own."""
+    n, looked = 64, []
+    words = [f"w{k:02d}".encode() for k in range(n)]
+    d = lm_contexts.Dictionary(words, [3] * n, [3] * n, 3 * n, 3 * n, 1.0)
+    at = lm_contexts.Nodes.at
+    monkeypatch.setattr(lm_contexts.Nodes, "at", lambda self, deep, k: looked.append((k, len(deep))) or at(self, deep, k))
+    context = np.arange(n, dtype=np.uint64) * np.uint64(1 << 32) + np.uint64(5)
+    leaves, held = np.arange(n, dtype=np.uint32), np.arange(n) % 4 == 0
+    context[1], leaves[1] = context[0], leaves[0] + 1  # the only two of a context
+    own = lm_contexts.Occurrences(context, leaves, held)
+    score = lm_contexts.scores_of(d, own, np.zeros(0, np.uint64), np.zeros(0))
+    assert len(score) == n and (score < 0).all()
+    assert max(size for k, size in looked if k == 0) == n and max(size for k, size in looked if k > 0) <= 2
+    tokens = sorted(bytes([97 + i, 97 + j]) * 15 for i in range(20) for j in range(20))
+    spread, repeat = [], np.repeat
+    prefixes = lm_score.Prefixes(tokens, np.zeros(400, np.int64), np.arange(400))
+    monkeypatch.setattr(np, "repeat", lambda a, *b, **c: spread.append(np.size(a)) or repeat(a, *b, **c))
+    whole, _ = prefixes.of(0, 400)
+    assert (whole[lm_score.FIRST : 31] == 0).all() and (whole[-5:] == 399).all() and len(spread) < 30
+
+
+def test_hashes_of_words_depend_on_the_word_alone():
+    rnd = random.Random(13)
+    words = sorted({bytes(rnd.choice(b"\0\0abc\xc3") for _ in range(n)) for n in (1, 2, 7, 8, 9, 15, 16, 17, 24, 40) for _ in range(60)})
+    texts = [b" ".join(rnd.choices(words, k=30)) + rnd.choice([b"", b" ", b"\t\n"]) for _ in range(40)] + [b"", b" ", words[0]]
+    h, counts = lm_segments.token_hashes(texts)
+    known: dict = {}
+    for w, x in zip([w for t in texts for w in [*t.split(), b"\n"]], h.tolist(), strict=True):
+        assert known.setdefault(w, x) == x
+    assert counts.tolist() == [len(t.split()) + 1 for t in texts] and len(set(known.values())) == len(known)
+
+
 def test_followers_equal_brute_force():
     rnd = random.Random(11)
     rows = [(rnd.randint(0, 30), rnd.randint(0, 5), rnd.random() < 0.2) for _ in range(300)]
