@@ -40,6 +40,28 @@ def test_common_words_are_asked_for_once(monkeypatch, name, kind):
     assert sum(t.split().count("rain") for t in asked) == 1
 
 
+@pytest.mark.parametrize("name, kind", [("byte_bpe_50k.json", "spaced"), ("word_bpe_49k.json", "loose")])
+def test_a_word_is_looked_up_once_however_often_it_stands(name, kind):
+    class Known(dict):
+        looked = 0
+
+        def __getitem__(self, key):
+            Known.looked += 1
+            return super().__getitem__(key)
+
+        def get(self, *key):
+            Known.looked += 1
+            return super().get(*key)
+
+    ids = tokens.WordIds(public_tokenizers.path(name), kind)
+    ids.known = Known()
+    texts = ["rain falls, été!\n" * 500 + "x", "", " ", "falls rain", "<|endoftext|>"]
+    for own in ([], *([t] for t in texts), texts):
+        got = [np.frombuffer(x, "<u4").tolist() for x in ids.encode(own)]
+        assert got == [ids.library.encode(t, add_special_tokens=False).ids for t in own]
+    assert Known.looked < 150
+
+
 pieces_re = re.compile(" *[^ ]+| +")
 
 
