@@ -8,7 +8,9 @@ stand for the blocks themselves, not for hashes of them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.common import Scratch, hot_keys, join_on, numbered, text_or_empty, without
@@ -19,6 +21,11 @@ BLOCK = 4096
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+def without_blanks(text: Column) -> Column:
+    """text without BLANKS, by copying what stands between them: translate() makes an object of each character, which fills the heap."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), BLANKS, F.make_valid_utf8(text))
+
+
 def named(df: DataFrame, keys: list[str], hot: list[int]) -> DataFrame:
     """df with a column name: an integer for each distinct value of the keys, in their sorted order within each shuffle partition.
 
@@ -57,10 +64,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def classes(scratch: Scratch, own: DataFrame, block: int) -> DataFrame:
     """text_classes() of (rid, doc_id, text), with rid."""
-    base = own.select("rid", "doc_id", F.length("text").cast("long").alias("n_chars"), F.translate("text", BLANKS, "").alias("norm"))
+    base = own.select("rid", "doc_id", F.length("text").cast("long").alias("n_chars"), without_blanks(F.col("text")).alias("norm"))
     base = base.select(
-        "rid", "doc_id", "n_chars", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"),
-        F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block), F.lit(0))).alias("blocks"),
+        "rid", "doc_id", "n_chars", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
+        F.when(F.length("norm") <= block, F.array("norm")).otherwise(F.regexp_extract_all("norm", F.lit("(?s).{1,%d}" % block), F.lit(0))).alias("blocks"),
     )
     base = base.select("rid", "doc_id", "n_chars", "sha", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
     blocks = scratch.table(base, "blocks")  # row numbers are fixed from here on

@@ -3,8 +3,10 @@ import re
 
 import numpy as np
 from helpers import SF, duck_rows, rows_of
+from pyspark.sql import functions as F
 
 from foliant.llm import exact_dedup, near_dup
+from foliant.llm.common import Scratch
 from foliant.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -33,6 +35,28 @@ def test_block_names_tell_apart_any_place(spark):
     assert sum(r.kept for r in exact_dedup.text_classes(df, block=16).collect()) == len(set(texts))
 
 
+def test_exact_needs_less_memory_than_an_object_for_each_character(spark):
+    jvm, counts = spark._jvm, {}
+    at = jvm.org.apache.spark.metrics.ExecutorMetricType.metricToOffset().apply("MinorGCCount")
+
+    def collections():
+        return jvm.org.apache.spark.executor.ExecutorMetrics.getCurrentMetrics(jvm.org.apache.spark.SparkEnv.get().memoryManager())[at]
+
+    class Watched(Scratch):
+        def table(self, df, name):
+            before = collections()
+            out = super().table(df, name)
+            counts[name] = collections() - before
+            return out
+
+    docs = spark.range(0, 20000, 1, 4).selectExpr("id AS rid", "id AS doc_id", "concat(repeat('wörter and blanks \\t', 190), id) AS text")  # 76 MB
+    before = collections()
+    docs.select(F.translate("text", exact_dedup.BLANKS, "")).write.format("noop").mode("overwrite").save()
+    objects = collections() - before
+    assert exact_dedup.classes(Watched(spark, "watched"), docs, exact_dedup.BLOCK).where("kept").count() == 20000
+    assert 2 * counts["blocks"] < objects
+
+
 def test_signatures_are_unbiased():
     rng, off = np.random.default_rng(1), []
     for _ in range(150):
