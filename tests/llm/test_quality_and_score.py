@@ -3,8 +3,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 from helpers import SF
 
 from foliant.llm import lm_contexts, lm_score, lm_segments, quality
@@ -126,6 +128,17 @@ def test_base_scores_equal_brute_force(spark):
         assert r.score < 0 and math.isclose(r.bits_per_byte, -r.score / math.log10(2) / len(" ".join(own).encode()), rel_tol=1e-9)
 
 
+def test_pairs_of_many_batches_are_dealt_together():
+    words = [f"w{i}" for i in range(5000)]
+    whole = pa.RecordBatch.from_pydict({"word": words, "cls": pa.array([i % 3 for i in range(5000)], pa.int32()), "count": list(range(5000)), "log_prob": [-i / 8 for i in range(5000)]})
+    deal = lm_contexts._deal_pairs(SimpleNamespace(value=SimpleNamespace(buckets=16)))
+    rows = [r for b in deal(whole.slice(i, 100) for i in range(0, 5100, 100)) for r in b.to_pylist()]
+    assert len(rows) == 16  # not a row of each bucket for each batch
+    keys, count, log_prob = (np.concatenate([lm_contexts._unpacked(r[c], kind) for r in rows]) for c, kind in (("a", np.uint64), ("b", np.int64), ("c", np.float64)))
+    want = lm_contexts.pair_keys(lm_contexts.hashes_of([w.encode() for w in words]), np.arange(5000) % 3)
+    assert {k: (n, p) for k, n, p in zip(keys, count, log_prob, strict=True)} == {k: (i, -i / 8) for i, k in enumerate(want)}
+
+
 def test_bits_of_a_token_sum_to_one():
     """The probabilities of all bytes in a place sum to 1: the end of the text and all words of one byte, over 256."""
     tables, mixer = lm_score.Tables(100), lm_score.Mixer()
